@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import bpe, packing, sharding, token_lengths
+from panelith.llm import bpe, minhash, packing, quality, sharding, token_lengths
 from panelith.llm.common import documents
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(documents(spark, sf_dir))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -18,6 +22,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=16)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(token_lengths.histogram(documents(spark, sf_dir)))
 
@@ -27,6 +35,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op5_sharding, op9_token_counts, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op5_sharding, op7_quality_rules, op9_token_counts, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {}
