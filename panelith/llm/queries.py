@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import bpe, minhash, packing, quality, sharding, token_lengths
+from panelith.llm import bpe, minhash, packing, quality, sharding, substrings, token_lengths
 from panelith.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(documents(spark, sf_dir))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -35,6 +39,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op5_sharding, op7_quality_rules, op9_token_counts, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_sharding, op7_quality_rules, op9_token_counts, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {}
