@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelith.llm.common import mixed, stored, utf8, window_hashes, word_hashes
+from panelith.llm.repeats import covered, window_starts
 
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\v\f\r"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -70,19 +71,6 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(starts: np.ndarray, width: int) -> np.ndarray:
-    """Which places lie in a window of ``width`` whose start is marked."""
-    sums = np.cumsum(starts, dtype=np.int64)
-    sums[width:] -= sums[:-width].copy()
-    return sums > 0
-
-
-def window_starts(ends: np.ndarray, width: int) -> np.ndarray:
-    """Which words start a whole window of their own text; ``ends`` are the texts' offsets."""
-    left = np.repeat(ends[1:], np.diff(ends)) - np.arange(ends[-1])
-    return left >= width
-
-
 def counts(texts: list[bytes], characters: list[int]) -> dict[str, np.ndarray]:
     hashes, ends = word_hashes(texts)
     n_words = np.diff(ends)
