@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import bpe, minhash, packing, quality, sharding, substrings, suffixes, token_lengths
+from panelith.llm import bpe, hmm, minhash, packing, quality, sharding, substrings, suffixes, token_lengths
 from panelith.llm.common import documents
 
 
@@ -34,6 +34,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_lengths.suffix_sums(token_lengths.histogram(documents(spark, sf_dir)))
 
@@ -43,6 +47,6 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_sharding, op6_suffix_array_dedup, op7_quality_rules, op9_token_counts, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_sharding, op6_suffix_array_dedup, op7_quality_rules, op8_lm_scoring, op9_token_counts, op10_bpe_round_trip)
 }
 SQL: dict[str, str] = {}
