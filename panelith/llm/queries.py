@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelith.llm import bpe, hmm, minhash, packing, quality, sharding, substrings, suffixes, token_lengths
+import corpus_pipeline
+from panelith.llm import bpe, hmm, media, minhash, packing, quality, sharding, substrings, suffixes, token_lengths
 from panelith.llm.common import documents
 
 
@@ -14,6 +15,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(documents(spark, sf_dir))
 
@@ -47,6 +52,18 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_substring_dedup, op4_best_fit_packing, op5_sharding, op6_suffix_array_dedup, op7_quality_rules, op8_lm_scoring, op9_token_counts, op10_bpe_round_trip)
-}
-SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_media_columns,
+        op3_substring_dedup,
+        op4_best_fit_packing,
+        op5_sharding,
+        op6_suffix_array_dedup,
+        op7_quality_rules,
+        op8_lm_scoring,
+        op9_token_counts,
+        op10_bpe_round_trip,
+    )
+} | {"pipeline": corpus_pipeline.run}
+SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
