@@ -8,41 +8,39 @@ from pyspark.sql import functions as F
 from panelith.llm.common import stored
 
 
-def _least_neighbours(pairs: DataFrame, name: str) -> DataFrame:
+def _least_neighbours(pairs: DataFrame) -> DataFrame:
     """Rows ``u, v`` with ``m``, the least of u and its neighbours. Both sides of the join are plain shuffles, so a node with very many neighbours is split."""
-    pairs = stored(pairs, f"{name}-pairs")
-    least = stored(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
+    least = stored(pairs.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
     return pairs.join(least, "u")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Each greater neighbour of u is linked to the least of u's neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least_neighbours(both, "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _least_neighbours(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """u and each lesser neighbour are linked to the least of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    held = _least_neighbours(down, "small")
-    moved = held.select(F.col("v").alias("u"), F.col("m").alias("v")).union(held.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    held = _least_neighbours(down)
+    moved = held.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+    return moved.select("x.*").where("u <> v").distinct()
+
+
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge upwards or is a root."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("x")).select("x.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node with an edge; the component is its least node.
 
     ``edges`` has ``u`` and ``v`` of one orderable type; direction, repetition and loops make no
-    difference, and edges with a null are ignored. Each round is written, so a lost executor costs at most a round.
+    difference, and edges with a null are ignored. Each step is written, so a lost executor costs at most a step.
     """
-    held = stored(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    before = None
-    while True:
-        held = stored(small_star(large_star(held)), "edges")
-        now = mark(held)
-        if now == before:
-            break
-        before = now
-    roots = held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    held = stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not is_forest_of_stars(held):
+        held = stored(small_star(stored(large_star(held), "edges")), "edges")
+    return held.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x")).select("x.*").distinct()

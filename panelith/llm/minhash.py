@@ -21,16 +21,18 @@ from panelith.llm.components import components
 SHINGLE = 5
 #: A link needs so many percent of the union in the intersection.
 PERCENT = 75
-#: 32 bands of 4 minima: a pair at similarity 0.75 is missed with probability (1 - 0.75^4)^32, about 5e-6.
-BANDS, ROWS = 32, 4
+#: 64 bands of 6 minima: a pair at similarity 0.75 is missed with probability (1 - 0.75^6)^64, about 4e-6, while one at 0.3 meets in a band in 5 of 100 cases.
+BANDS, ROWS = 64, 6
 PERMUTATIONS = BANDS * ROWS
-#: Agreement of one-byte minima below which a candidate is dropped unread: 5.7 standard errors under 0.75.
+#: Minima kept as one-byte signatures, the first of each of so many hashes.
+SIGNATURE = 128
+#: Agreement of signatures below which a candidate is dropped unread: 5.7 standard errors under 0.75.
 LEAST_AGREEMENT = 0.53
 #: Rounds of comparing a bucket with one member go on while pairs across components outnumber members so many times, but end after MOST_ROUNDS.
-PAIRS_PER_MEMBER, MOST_ROUNDS = 4, 6
+PAIRS_PER_MEMBER, MOST_ROUNDS = 4, 4
 
-_seeds = np.random.default_rng(20240229).integers(1, 2**63, (2, PERMUTATIONS), dtype=np.uint64)
-MULTIPLIERS, ADDENDS = _seeds[0] * np.uint64(2) + np.uint64(1), _seeds[1]
+_seeds = np.random.default_rng(20240229).integers(1, 2**31, (2, PERMUTATIONS), dtype=np.uint32)
+MULTIPLIERS, ADDENDS = _seeds[0] * np.uint32(2) + np.uint32(1), _seeds[1]
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +53,16 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The least of each universal hash over each non-empty set: one row a set, one column a hash."""
-    out = np.empty((len(ends) - 1, PERMUTATIONS), np.uint64)
+    """The least of each universal hash over each non-empty set: one row a set, one column a hash.
+
+    The hashes are multiply-add modulo 2^32 over the well-mixed high halves of the shingles' hashes.
+    """
+    out = np.empty((len(ends) - 1, PERMUTATIONS), np.uint32)
+    values = (values >> np.uint64(32)).astype(np.uint32)
     start = 0
     while start < len(ends) - 1:
         # Blocks that stay in the processor's cache.
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 32_768, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + 65_536, "right")) - 1)
         own, heads = values[ends[start] : ends[stop]], ends[start:stop] - ends[start]
         work = np.empty_like(own)
         for j in range(PERMUTATIONS):
@@ -91,9 +97,9 @@ def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
     own_ends = np.concatenate(([0], np.cumsum(sizes[full])))
     least = minima(values, own_ends)
     nodes = nodes_of(values, own_ends)
-    keys = least.reshape(len(full), BANDS, ROWS) * powers(0xD6E8FEB86659FD93, ROWS + 1)[1:]
+    keys = least.reshape(len(full), BANDS, ROWS).astype(np.uint64) * powers(0xD6E8FEB86659FD93, ROWS + 1)[1:]
     bands = mixed(keys.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-    bytes_ = mixed(least).astype(np.uint8)
+    bytes_ = mixed(least[:, :SIGNATURE].astype(np.uint64)).astype(np.uint8)
     place = np.full(batch.num_rows, -1)
     place[full] = np.arange(len(full))
     take = pa.array(place, pa.int32(), mask=place < 0)
@@ -107,7 +113,7 @@ def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, PERMUTATIONS) for k in ("sa", "sb"))
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for k in ("sa", "sb"))
             share = ((one == two).mean(axis=1) - 1 / 256) / (255 / 256)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(share >= LEAST_AGREEMENT))
 
@@ -116,39 +122,114 @@ def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, shingles binary`` of the classes in ``wanted`` (``node, doc_id``), from their whole texts."""
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, text`` of the classes in ``wanted`` (``node, doc_id``), from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 values, ends = shingle_sets(utf8(part.column("text")))
-                nodes = nodes_of(values, ends)
-                right = np.flatnonzero((nodes == part.column("node").to_numpy()) & (np.diff(ends) > 0)).tolist()
-                yield pa.record_batch([pa.array(nodes[right], pa.int64()), pa.array([values[ends[i] : ends[i + 1]].tobytes() for i in right], pa.binary())], names=["node", "shingles"])
+                right = (nodes_of(values, ends) == part.column("node").to_numpy()) & (np.diff(ends) > 0)
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text")], names=["node", "text"]).filter(pa.array(right))
 
     found = text_only(docs).join(wanted.select(F.col("doc_id").alias("__id"), "node"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return found.select("text", "node").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return found.select("node", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets meet the similarity."""
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose full sets meet the similarity. Sets of recent texts are kept, as a text stands in several pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def full(node: int, text: str) -> np.ndarray:
+            if node not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[node] = shingle_sets([text.encode()])[0]
+            return known[node]
+
         for batch in batches:
             good = []
-            for one, two in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
-                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            for a, b, one, two in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "xa", "xb")], strict=True):
+                one, two = full(a, one), full(b, two)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 good.append(100 * both >= PERCENT * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
-    with_both = with_one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
+    with_one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("xa")), "a")
+    with_both = with_one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("xb")), "b")
     return with_both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+class Verifier:
+    """Verifies candidate pairs by signature, then by full sets; texts once fetched are not fetched again."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes = docs, classes
+        self.texts: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        likely = stored(agreeing(pairs, self.classes), "likely")
+        nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = self.classes.select("node", "doc_id").join(nodes, "node", "left_semi")
+        if self.texts is not None:
+            wanted = wanted.join(self.texts.select("node"), "node", "left_anti")
+        found = stored(class_texts(self.docs, stored(wanted, "wanted")), "texts")
+        self.texts = found if self.texts is None else self.texts.union(found)
+        return stored(linked(likely, self.texts), "links")
+
+
+def merged(old: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``node, component`` after further links between nodes; only links between components are gone through."""
+    if old is None:
+        return stored(components(links.toDF("u", "v")), "components")
+    name = lambda c, to: old.select(F.col("node").alias(c), F.col("component").alias(to))
+    between = links.join(name("a", "ca"), "a", "left").join(name("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    above = stored(components(between), "above")
+    lifted = old.join(above.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    fresh = above.join(old.select("node"), "node", "left_anti")
+    return stored(lifted.union(fresh), "components")
+
+
+def classes_joined(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, component`` of all classes with a link to another."""
+    spread = rows.where("node is not null").select("node", F.explode("bands").alias("band"))
+    buckets = stored(spread.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center < most").select("band", "center"), "buckets")
+    members = stored(spread.join(buckets, "band").select("band", "node", "center").distinct(), "members")
+    nodes = members.select("node").distinct()
+    classes = stored(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
+    verifier = Verifier(docs, classes)
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    seen = stored(ordered(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))), "pairs")
+    joined = merged(None, verifier.links(seen))
+    held = members.select("band", "node")
+    for turn in range(1, MOST_ROUNDS + 1):
+        of = held.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        sizes = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("first"))
+        live = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("parts"), F.min("first").alias("first")).where("parts > 1")
+        live = stored(live.select("band", F.col("first.node").alias("center"), "n", "nn"), "live")
+        work = live.agg(F.sum("n").alias("members"), F.sum(F.expr("(cast(n as double) * n - nn) / 2")).alias("pairs")).first()
+        if not work["members"]:
+            break
+        held = stored(of.join(live.select("band", "center"), "band"), "held")
+        last = turn == MOST_ROUNDS or work["pairs"] <= PAIRS_PER_MEMBER * work["members"]
+        if last:
+            one, two = held.select("band", F.col("node").alias("a"), F.col("component").alias("ca")), held.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
+            pairs = one.join(two, "band").where("ca < cb").select("a", "b")
+        else:
+            heads = stored(held.where("node = center").select("band", F.col("component").alias("ca")), "heads")
+            pairs = held.join(heads, "band").where("component <> ca").select(F.col("center").alias("a"), F.col("node").alias("b"))
+        new = stored(ordered(pairs).join(seen, ["a", "b"], "left_anti"), "pairs")
+        seen = seen.union(new)
+        joined = merged(joined, verifier.links(new))
+        if last:
+            break
+        held = held.select("band", "node")
+    return joined
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -162,52 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shuffles, which adaptive execution splits, and all intermediate tables are written to the shared folder.
     """
     rows = stored(sketches(docs), "sketches")
-    classes = stored(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
-    spread = classes.select("node", F.explode("bands").alias("band"))
-    shared = stored(spread.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band"), "buckets")
-    members = stored(spread.join(shared, "band", "left_semi"), "members")
-    candidates = stored(members.select("node").distinct().join(classes.select("node", "doc_id", "signature"), "node"), "candidates")
-    sets = stored(class_sets(docs, candidates.select("node", "doc_id")), "sets")
-    found: list[DataFrame] = []
-    seen: DataFrame | None = None
-    of = members.withColumn("component", F.col("node"))
-    for turn in range(MOST_ROUNDS + 1):
-        sizes = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("first"))
-        live = stored(
-            sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("parts"), F.min("first").alias("first")).where("parts > 1").select("band", F.col("first.node").alias("center"), "n", "nn"),
-            "live",
-        )
-        work = live.agg(F.sum("n").alias("members"), F.sum(F.expr("(cast(n as double) * n - nn) / 2")).alias("pairs")).first()
-        if not work["members"]:
-            break
-        last = turn == MOST_ROUNDS or work["pairs"] <= PAIRS_PER_MEMBER * work["members"]
-        held = stored(of.join(live.select("band"), "band", "left_semi"), "held")
-        if last:
-            one, two = held.toDF("band", "a", "ca"), held.toDF("band", "b", "cb")
-            pairs = one.join(two, "band").where("ca < cb").select("a", "b")
-        else:
-            heads = stored(held.join(live.select("band", F.col("center").alias("node")), ["band", "node"], "left_semi").toDF("band", "a", "ca"), "heads")
-            pairs = held.toDF("band", "b", "cb").join(heads, "band").where("ca <> cb").select("a", "b")
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        new = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
-        seen = pairs if seen is None else seen.union(pairs)
-        likely = stored(agreeing(new, candidates), "likely")
-        found.append(stored(linked(likely, sets), "links"))
-        edges = found[0]
-        for more in found[1:]:
-            edges = edges.union(more)
-        joined = stored(components(edges.toDF("u", "v")), "components")
-        if last:
-            break
-        of = members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    if found:
-        classes = classes.select("node", "doc_id").join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    else:
-        classes = classes.select("node", "doc_id", F.col("node").alias("component"))
-    classes = stored(classes, "classes")
-    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stored(classes.join(least, "component").select("node", "component_id"), "named")
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    joined = classes_joined(rows, docs)
+    slim = rows.select("doc_id", "n_shingles", "node")
+    named = stored(slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
+    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    ids = stored(named.join(least, "component").select("node", "component_id"), "ids")
+    out = slim.join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
