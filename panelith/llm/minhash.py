@@ -202,13 +202,20 @@ def classes_joined(rows: DataFrame, docs: DataFrame) -> DataFrame:
     classes = stored(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
     verifier = Verifier(docs, classes)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # The text that others were made from stands in more, and in larger, buckets than its copies: comparing with it first joins a group at once.
+    sizes = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    weights = stored(members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    members = stored(members.join(weights, "node").select("band", "node", "weight", "center"), "members")
+    centers = stored(members.groupBy("band").agg(F.max(F.struct("weight", "node"))["node"].alias("center")), "centers")
+    members = stored(members.drop("center").join(centers, "band"), "members")
     seen = stored(ordered(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"))), "pairs")
     joined = merged(None, verifier.links(seen))
-    held = members.select("band", "node")
+    held = members.select("band", "node", "weight")
     for turn in range(1, MOST_ROUNDS + 1):
-        of = held.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        sizes = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("first"))
-        live = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("parts"), F.min("first").alias("first")).where("parts > 1")
+        of = held.join(joined, "node", "left").select("band", "node", "weight", F.coalesce("component", "node").alias("component"))
+        # Of the components of a bucket, one of those of the fewest members gives the next center: the largest has had its turn.
+        sizes = of.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", F.xxhash64("node", F.lit(turn)), "node")).alias("first"))
+        live = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count(F.lit(1)).alias("parts"), F.min_by("first", F.struct("n", F.xxhash64("component", F.lit(turn)))).alias("first")).where("parts > 1")
         live = stored(live.select("band", F.col("first.node").alias("center"), "n", "nn"), "live")
         work = live.agg(F.sum("n").alias("members"), F.sum(F.expr("(cast(n as double) * n - nn) / 2")).alias("pairs")).first()
         if not work["members"]:
@@ -226,7 +233,7 @@ def classes_joined(rows: DataFrame, docs: DataFrame) -> DataFrame:
         joined = merged(joined, verifier.links(new))
         if last:
             break
-        held = held.select("band", "node")
+        held = held.select("band", "node", "weight")
     return joined
 
 
