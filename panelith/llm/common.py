@@ -26,7 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else "file:///tmp/checkpoints/panelith"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
