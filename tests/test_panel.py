@@ -129,7 +129,7 @@ def test_turnover_and_neutral_weights(spark):
     scores = spark.createDataFrame([(d, d, k, None if x > 2 else x, 0.01) for d in range(6) for k, x in enumerate(r.normal(size=25).tolist())], "date int, t int, ticker int, score double, target double")
     w = ev.quantile_weights(scores, 0.2, "date").groupBy("date").agg(F.sum("weight").alias("net"), F.sum(F.abs("weight")).alias("gross")).toPandas()
     assert np.allclose(w["net"], 0) and np.allclose(w["gross"], 2)
-    fixed = spark.createDataFrame([(t, k, x) for t, row in enumerate([[0.5, -0.5, 0], [0.5, -0.5, 0], [0, -0.5, 0.5]]) for k, x in enumerate(row)], "t int, ticker int, w double")
+    fixed = spark.createDataFrame([(t, k, x) for t, row in enumerate([[0.5, -0.5, 0.0], [0.5, -0.5, 0.0], [0.0, -0.5, 0.5]]) for k, x in enumerate(row)], "t int, ticker int, w double")
     got = fixed.withColumn("x", ev.trades("w")).groupBy("t").agg(F.sum("x").alias("x")).orderBy("t").toPandas()["x"].tolist()
     assert got == [1.0, 0.0, 1.0]
 
