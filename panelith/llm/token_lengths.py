@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelith.llm.bpe import token_counts
+from panelith.llm.common import stored
 
 #: Lengths whose suffix sums one task makes; sums of whole blocks are made apart.
 BLOCK = 1024
@@ -29,7 +30,8 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
     cut by it and ``quantile`` the share of documents of at most L tokens. Blocks of lengths are
     summed first: only as many rows as blocks, at most the longest length / 1024, meet in one task.
     """
-    held = lengths.withColumn("block", F.expr(f"length div {BLOCK}"))
+    # Written once: both the blocks and the lengths read it, and texts are encoded a single time.
+    held = stored(lengths.withColumn("block", F.expr(f"length div {BLOCK}")), "lengths")
     blocks = held.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("length")).alias("tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
