@@ -1,11 +1,11 @@
 """Suffix-array dedup: repeated byte strings by breadth-first search on a Burrows-Wheeler transform.
 
 A first pass finds which parts of the texts can hold a repeated string at all: every window's
-least 32-byte hash names a group, and equal windows share their group, so windows whose group
-has one member are unique. The parts that remain are dealt out by group; each task sorts the
-suffixes of its parts, and a threshold-bounded interval expansion on the transform finds
-common prefixes of increasing length, stopping at the least length that matters. Suffixes no
-expansion has told apart by then share a prefix of at least that length.
+least 128-byte hash names a group, and equal windows share their group, so windows whose group
+has one member are unique. What remains is cut into parts and dealt out by the windows' least 32-byte hash
+in the same way; each task sorts the suffixes of its parts, and a threshold-bounded interval expansion on
+the transform finds common prefixes of increasing length, stopping at the least length that matters.
+Suffixes no expansion has told apart by then share a prefix of at least that length.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from panelith.llm.common import inside, mixed, partitions, utf8, window_hashes
 from panelith.llm.repeats import bucket_bits, covered_spans, repeated_places, window_starts
 
 LENGTH = 200
-#: Bytes hashed to find a window's group.
-GRAM = 32
+#: Bytes hashed to find whether a window may recur, and to deal windows out: long ones tell more, short ones make longer parts.
+FILTER_GRAM, DEAL_GRAM = 128, 32
 #: Bytes of text in one block, and bytes whose suffixes are sorted together.
-BLOCK_BYTES, SORT_BYTES = 2_000_000, 2_000_000
+BLOCK_BYTES, SORT_BYTES = 2_000_000, 1_000_000
 
 _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 
@@ -45,18 +45,20 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(falling[:n], rising[width - 1 : width - 1 + n])
 
 
-def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(texts: list[bytes], length: int, gram: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows with one and the same least gram: groups (its hash), first windows and numbers of windows; the offsets of the
-    texts among the runs and among the bytes; the bytes."""
+    texts among the runs and among the bytes; the bytes. ``among`` marks the windows to look at, all by default."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
     none = np.empty(0, np.int64)
     if len(data) < length:
         return np.empty(0, np.uint64), none, none, np.zeros(len(ends), np.int64), ends, data
-    gram = min(GRAM, length)
+    gram = min(gram, length)
     hashes = window_hashes(_BYTE_VALUES[data], gram)
     least = sliding_least(hashes, length - gram + 1)
     valid = window_starts(ends, length)[: len(least)]
+    if among is not None:
+        valid &= among[: len(least)]
     new = valid.copy()
     # A run ends where its least gram does, so that windows which repeat at a short distance fall into two runs.
     new[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (hashes[: len(least) - 1] == least[:-1])
@@ -79,7 +81,7 @@ def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
     order = np.argsort(key)
     own = key[order]
     heads = np.concatenate(([True], own[1:] != own[:-1]))
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     at = np.flatnonzero(heads)
     rank[order] = at[np.cumsum(heads) - 1]
     while held < depth:
@@ -111,7 +113,7 @@ def expansion(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(codes)
     transform = codes[order - 1]
-    symbols = int(codes.max()) + 1
+    symbols = int(codes.max()) + 1  # codes are small integers
     first = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=symbols))))
     words = -(-n // 64) + 1
     bits, before = [], []
@@ -149,7 +151,7 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     ends = np.concatenate(([0], np.cumsum(sizes)))
     # UTF-8 has at most 243 byte values, so there is room for a code of its own, 0, that ends each part.
     present = np.bincount(data, minlength=256) > 0
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     table[present] = np.arange(1, present.sum() + 1)
     codes = table[data]
     codes[ends[1:] - 1] = 0
@@ -171,14 +173,17 @@ PART_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 10]
 
 def part_rows(keys: np.ndarray, texts: list[bytes], wanted: list[bytes], length: int, bits: int) -> Iterator[tuple]:
     """The distinct parts of a block of texts for each bucket, and one row with their places."""
-    groups, starts, sizes, run_ends, ends, data = runs(texts, length)
-    picks = np.concatenate([np.frombuffer(w, "<i8") + run_ends[i] for i, w in enumerate(wanted)]) if wanted else np.empty(0, np.int64)
+    _, starts, sizes, run_ends, ends, data = runs(texts, length, FILTER_GRAM)
+    picks = np.concatenate([np.frombuffer(w, "<i8") + run_ends[i] for i, w in enumerate(wanted)])
+    among = np.zeros(len(data), bool)
+    among[inside(starts[picks], sizes[picks])] = True
+    groups, starts, sizes, run_ends, ends, data = runs(texts, length, DEAL_GRAM, among)
     name = np.int64(xxhash.xxh3_64_intdigest(keys.tobytes()) >> 1)
     raw = data.tobytes()
     known: dict[bytes, int] = {}
     parts: list[bytes] = []
-    own_groups, windows, times, uses = [], [], [], np.empty(len(picks), np.int64)
-    for i, (start, size, group) in enumerate(zip(starts[picks].tolist(), sizes[picks].tolist(), groups[picks].tolist(), strict=True)):
+    own_groups, windows, times, uses = [], [], [], np.empty(len(starts), np.int64)
+    for i, (start, size, group) in enumerate(zip(starts.tolist(), sizes.tolist(), groups.tolist(), strict=True)):
         part = raw[start : start + size + length - 1]
         number = known.get(part)
         if number is None:
@@ -198,27 +203,35 @@ def part_rows(keys: np.ndarray, texts: list[bytes], wanted: list[bytes], length:
         own = order[a:b]
         held = [parts[i] for i in own.tolist()]
         yield int(buckets[own[0]]), name, of[own].astype("<u8").tobytes(), np.array([len(x) for x in held], "<i8").tobytes(), b"".join(held), own.astype("<i8").tobytes(), many[own].tobytes(), *[None] * 5
-    yield int(name % (1 << bits)), name, *[None] * 5, keys.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), np.array(windows, "<i8").tobytes(), uses.astype("<i8").tobytes(), starts[picks].astype("<i8").tobytes()
+    yield int(name % (1 << bits)), name, *[None] * 5, keys.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), np.array(windows, "<i8").tobytes(), uses.astype("<i8").tobytes(), starts.astype("<i8").tobytes()
 
 
 def found_in(rows: list[tuple], length: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """For the rows of some whole groups: each block's parts with repeated strings, as the parts' numbers and starts."""
+    """For the rows of some whole groups: each block's parts with repeated strings, as the parts' numbers and starts.
+
+    A part used more than once is repeated as a whole. The windows of one part differ from each other, so a group with
+    one distinct part needs no search.
+    """
     ids: dict[bytes, int] = {}
     parts: list[bytes] = []
     times: list[int] = []
     uses: list[tuple[int, int, int]] = []
-    for block, part, number, many in rows:
+    of_group: dict[int, set[int]] = {}
+    for group, block, part, number, many in rows:
         i = ids.setdefault(part, len(parts))
         if i == len(parts):
             parts.append(part)
             times.append(0)
         times[i] += 1 + many
         uses.append((block, number, i))
-    starts = repeated_starts(parts, length) if len(parts) else []
+        of_group.setdefault(group, set()).add(i)
+    searched = sorted({i for own in of_group.values() if len(own) > 1 for i in own})
+    none = np.empty(0, np.int64)
+    starts = dict(zip(searched, repeated_starts([parts[i] for i in searched], length), strict=True)) if searched else {}
     whole = {i: np.arange(len(p) - length + 1) for i, p in enumerate(parts) if times[i] > 1}
     by_block: dict[int, tuple[list, list]] = {}
     for block, number, i in uses:
-        own = whole.get(i, starts[i])
+        own = whole.get(i) if i in whole else starts.get(i, none)
         if len(own):
             a, b = by_block.setdefault(block, ([], []))
             a.append(np.full(len(own), number))
@@ -233,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sort_bytes: int = SORT
     bits = bucket_bits(n)
 
     def group_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        groups, _, _, run_ends, _, _ = runs(texts, length)
+        groups, _, _, run_ends, _, _ = runs(texts, length, FILTER_GRAM)
         return groups, np.arange(len(groups)), run_ends
 
     def marked(marks: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -275,7 +288,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sort_bytes: int = SORT
                     ready.clear()
                     size = 0
                 last = group
-                ready.append(tuple(row))
+                ready.append((group, *row))
                 size += len(row[1])
             held.clear()
 
