@@ -1,8 +1,9 @@
 """A hidden Markov language model: Baum-Welch over partitions, exact likelihood by the scaled forward recursion.
 
-Words that occur most often have emissions of their own in every state; all others share one
-emission, spread among them by their counts. The frequent words are a table of bounded size that
-every task holds; the counts of the others are joined to the documents that use them.
+Every word of the training texts has emissions of its own in every state; words never trained on
+share one. The most frequent words are a table of bounded size that every task holds. Documents are
+dealt once into parts of bounded size, whose texts become word numbers; the emissions of a part's other
+words are a table by word, brought to the part's own file in each iteration.
 """
 
 from __future__ import annotations
@@ -13,14 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelith.llm.common import mixed, stored, utf8
+from panelith.llm.common import mixed, scratch_path, stored, utf8
 
 STATES = 4
-#: Words with emissions of their own, at most.
+#: Words whose emissions every task holds, at most; those of the others reach each part by file. It makes no difference to the result.
 HEAD = 65_536
+#: Tokens after which a part of the documents ends.
+PART_TOKENS = 4_000_000
 ITERATIONS = 3
 #: Tokens whose forward and backward values are held at once.
 SLICE_TOKENS = 500_000
@@ -56,23 +62,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The frequent words with their counts, and the sums over all words."""
+    """The frequent words with their counts and hashes, the sums over all words, and the counts of all."""
 
     ids: dict[bytes, int]
     counts: np.ndarray
+    hashes: np.ndarray
     total: int
     distinct: int
+    table: DataFrame
 
     @property
-    def shares(self) -> np.ndarray:
-        """Smoothed probability of each frequent word and, last, of all other words, unseen ones included."""
-        own = (self.counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        return np.append(own, max(1.0 - own.sum(), 1e-12))
-
-    @property
-    def rest(self) -> tuple[float, int]:
-        """Tokens and distinct words that are not frequent."""
-        return float(self.total - self.counts.sum()), self.distinct - len(self.counts)
+    def whole(self) -> float:
+        """All tokens and half a one for each word, unseen ones together counting as one."""
+        return self.total + 0.5 * (self.distinct + 1)
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
@@ -87,32 +89,165 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
             break
         least = row["c"]
     wanted = (F.col("word") == "") if least is None else (F.col("c") >= least) | (F.col("word") == "")
-    rows = counts.where(wanted).orderBy(F.col("c").desc(), "word").toPandas()
-    return Vocabulary({w.encode(): i for i, w in enumerate(rows["word"])}, rows["c"].to_numpy(np.int64), int(sums["total"]), int(sums["distinct"]))
+    rows = counts.where(wanted).select("word", "c", F.xxhash64("word").alias("wid")).orderBy(F.col("c").desc(), "word").toPandas()
+    ids = {w.encode(): i for i, w in enumerate(rows["word"])}
+    return Vocabulary(ids, rows["c"].to_numpy(np.int64), rows["wid"].to_numpy(np.int64), int(sums["total"]), int(sums["distinct"]), counts)
 
 
 @dataclass
 class Model:
     start: np.ndarray
     step: np.ndarray
-    emit: np.ndarray  # one row a frequent word, the last for all others; each state's column sums to one
+    emit: np.ndarray  # one row a frequent word, the last for all others together; each state's column sums to one
+    norm: np.ndarray | None = None  # what each state's unscaled emissions over all words sum to
+
+
+def unscaled(counts: np.ndarray, hashes: np.ndarray, sums: np.ndarray | None, whole: float, states: int) -> np.ndarray:
+    """Emissions of words up to each state's ``norm``: expected counts and the prior or, at the start, shares tilted by a hash of word and state."""
+    share = ((counts + 0.5) / whole)[:, None]
+    if sums is not None:
+        return sums + PRIOR * share
+    keys = hashes.view(np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64)
+    tilt = 0.5 + mixed(keys + np.uint64(1)).astype(np.float64) / 2.0**64
+    return share * np.where((counts > 0)[:, None], tilt, 1.0)
+
+
+def with_others(own: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Scaled emissions of the frequent words and, last, what is left for all others."""
+    emit = own / norm
+    return np.vstack((emit, np.maximum(1.0 - emit.sum(axis=0), 1e-12)))
 
 
 def first_model(v: Vocabulary, states: int) -> Model:
     """States that stay with high probability, and emissions tilted by a hash of word and state."""
-    words = np.arange(len(v.shares), dtype=np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64)
-    tilt = 0.5 + mixed(words + np.uint64(1)).astype(np.float64) / 2.0**64
-    emit = v.shares[:, None] * tilt
+    names, whole = [f"s{i}" for i in range(states)], v.whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = unscaled(batch.column("c").to_numpy(), batch.column("wid").to_numpy(), None, whole, states).sum(axis=0)
+            yield pa.record_batch([pa.array([x]) for x in sums], names=names)
+
+    tilted = v.table.select("c", F.xxhash64("word").alias("wid")).mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    sums = tilted.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first()
+    norm = np.array(sums) + 0.5 / whole
     step = np.full((states, states), 0.02 / max(1, states - 1))
     np.fill_diagonal(step, 0.98 if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=0))
+    return Model(np.full(states, 1 / states), step, with_others(unscaled(v.counts, v.hashes, None, whole, states), norm), norm)
 
 
 class Ids(dict):
-    """Numbers of frequent words; any other word has the last."""
+    """Numbers of frequent words; any other word has the next free number of its part."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.known = len(known)
 
     def __missing__(self, word: bytes) -> int:
-        return self.other
+        value = self[word] = len(self)
+        return value
+
+    def others(self) -> list[bytes]:
+        return list(self)[self.known :]
+
+
+def numbered(texts: DataFrame, v: Vocabulary, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """Documents in parts: rows ``part, doc_id, held_out, ids`` with a text's word numbers, its end included, and rows ``part, id, word`` of each part's words that are not frequent."""
+    shared = texts.sparkSession.sparkContext.broadcast(v.ids)
+    fields = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("id", pa.int32()), ("word", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        part, tokens, ids = TaskContext.get().partitionId() << 32, 0, Ids(known)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            others = ids.others()
+            for at in range(0, len(others), 50_000):
+                own = others[at : at + 50_000]
+                n, first = len(own), ids.known + at
+                yield pa.record_batch([pa.array(np.full(n, part)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(own, pa.binary()).cast(pa.string())], schema=fields)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                n = rows.num_rows
+                values, ends = sequences(utf8(rows.column("text")), ids)
+                held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
+                yield pa.record_batch([pa.array(np.full(n, part)), rows.column("doc_id"), rows.column("held_out"), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=fields)
+                tokens += len(values)
+                if tokens >= part_tokens:
+                    yield from words()
+                    part, tokens, ids = part + 1, 0, Ids(known)
+        yield from words()
+
+    return stored(texts.select("doc_id", "held_out", "text").mapInArrow(run, "part long, doc_id long, held_out boolean, ids binary, id int, word string"), "numbered")
+
+
+def by_part(words: DataFrame) -> str:
+    """Writes ``words`` in a folder for each part; returns their place."""
+    path = scratch_path(words.sparkSession, "part-words")
+    words.repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def part_words(rows: DataFrame, v: Vocabulary) -> str:
+    """The words of each part with hash and training count, 0 for words never trained on."""
+    own = rows.where("word is not null").select("part", "id", "word")
+    return by_part(own.join(v.table, "word", "left").select("part", "id", F.xxhash64("word").alias("wid"), F.coalesce("c", F.lit(0)).alias("c")))
+
+
+@dataclass
+class Part:
+    """A part's words that are not frequent, in the order of their numbers, with expected counts over all parts if there are any."""
+
+    number: int
+    hashes: np.ndarray
+    counts: np.ndarray
+    sums: np.ndarray | None
+
+
+def read_part(path: str, part: int, known: int) -> Part:
+    system, folder = fs.FileSystem.from_uri(path)
+    folder = f"{folder}/part={part}"
+    if system.get_file_info(folder).type == fs.FileType.NotFound:
+        return Part(part, np.empty(0, np.int64), np.empty(0, np.int64), None)
+    files = [x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet")]
+    tables = []
+    for file in files:
+        with system.open_input_file(file) as handle:
+            tables.append(pq.ParquetFile(handle).read())
+    table = pa.concat_tables(tables)
+    at = table.column("id").to_numpy() - known
+    hashes, counts = np.zeros(at.max() + 1, np.int64), np.zeros(at.max() + 1, np.int64)
+    hashes[at], counts[at] = table.column("wid").to_numpy(), table.column("c").to_numpy()
+    names = [n for n in table.column_names if n.startswith("s")]
+    sums = None
+    if names:
+        sums = np.zeros((len(counts), len(names)))
+        for i, n in enumerate(names):
+            sums[at, i] = table.column(n).to_numpy()
+    return Part(part, hashes, counts, sums)
+
+
+def part_model(model: Model, part: Part, whole: float) -> Model:
+    """The model over the numbers of a part: frequent words, then the part's own."""
+    own = unscaled(part.counts, part.hashes, part.sums, whole, len(model.start)) / model.norm
+    return Model(model.start, model.step, np.vstack((model.emit[:-1], own)))
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of one part each, with its number."""
+    for batch in batches:
+        if batch.num_rows:
+            parts = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield int(parts[a]), batch.slice(a, b - a)
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of all rows and the rows' offsets."""
+    held = column.to_pylist()
+    return np.frombuffer(b"".join(held), np.int32).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) // 4 for x in held])))
 
 
 def sequences(texts: list[bytes], ids: Ids) -> tuple[np.ndarray, np.ndarray]:
@@ -195,58 +330,92 @@ def expected(model: Model, words: np.ndarray, offsets: np.ndarray, into: tuple[n
     return float(likelihood.sum())
 
 
-def maximized(sums: np.ndarray, steps: np.ndarray, starts: np.ndarray, v: Vocabulary) -> Model:
-    emit = sums + PRIOR * v.shares[:, None]
+def maximized(sums: np.ndarray, spent: np.ndarray, steps: np.ndarray, starts: np.ndarray, v: Vocabulary) -> Model:
+    """``sums`` are the frequent words' expected counts, ``spent`` those of all words together."""
+    norm = spent + PRIOR
     steps, starts = steps + 1e-3, starts + 1e-3
-    return Model(starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    emit = with_others(unscaled(v.counts, v.hashes, sums, v.whole, len(starts)), norm)
+    return Model(starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), emit, norm)
 
 
-def train(texts: DataFrame, v: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all texts: each task adds up its expected counts, Spark adds the tasks' by word.
+def fitted(rows: DataFrame, v: Vocabulary, states: int, iterations: int) -> tuple[Model, list[float], str]:
+    """Baum-Welch over the ``numbered`` rows not held out: each task adds up its expected counts a part, Spark adds the parts' by word.
 
     What returns to the driver is one row a frequent word, which ``HEAD`` bounds. The second result is the
-    log-likelihood before each maximization.
+    log-likelihood before each maximization, the third the place of the parts' words with their expected counts.
     """
-    spark = texts.sparkSession
-    model, course = first_model(v, states), []
+    spark, whole, n_known = rows.sparkSession, v.whole, len(v.ids)
+    texts = rows.where("ids is not null").select("part", "held_out", "ids")
+    model, course, path = first_model(v, states), [], part_words(rows, v)
     names = [f"s{i}" for i in range(states)]
+    columns = ["part", "id", "wid", "c", *names]
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast((v.ids, model))
+        shared = spark.sparkContext.broadcast((model, path))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, own = shared.value
-            ids = Ids(known)
-            ids.other = len(known)
-            k = len(own.start)
-            into = np.zeros(k), np.zeros((k, k)), np.zeros((len(known) + 1, k))
-            likelihood = 0.0
-            for batch in batches:
-                words, ends = sequences(utf8(batch.column("text")), ids)
+            whole_model, place = shared.value
+            k = states
+            common, steps, starts, spent = np.zeros((n_known, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)
+            likelihood, now = 0.0, None
+
+            def sums_of(part: Part, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+                nonlocal common, spent
+                common += found[:n_known]
+                spent += found.sum(axis=0)
+                n = len(part.counts)
+                for at in range(0, n, 50_000):
+                    size = min(50_000, n - at)
+                    cut = slice(at, at + size)
+                    own = [pa.array(found[n_known:][cut, i].copy()) for i in range(k)]
+                    yield pa.record_batch([pa.array(np.full(size, part.number)), pa.array(np.arange(at, at + size) + n_known), pa.array(part.hashes[cut]), pa.array(part.counts[cut]), *own], names=columns)
+
+            for number, batch in runs(batches):
+                if now is None or now.number != number:
+                    if now is not None:
+                        yield from sums_of(now, into[2])
+                    now = read_part(place, number, n_known)
+                    own = part_model(whole_model, now, whole)
+                    into = starts, steps, np.zeros((len(own.emit), k))
+                words, ends = unpacked(batch.filter(pa.array(~batch.column("held_out").to_numpy(zero_copy_only=False))).column("ids"))
                 for picks in slices(np.diff(ends)):
                     likelihood += expected(own, *by_step(words, ends, picks), into)
-            used = np.flatnonzero(into[2].sum(axis=1))
-            if len(used):
-                numbers = np.concatenate((used, -1 - np.arange(k), [-1 - k, -2 - k]))
-                values = np.concatenate((into[2][used], into[1], into[0][None], np.full((1, k), likelihood / k)))
-                yield pa.record_batch([pa.array(numbers), *[pa.array(values[:, i]) for i in range(k)]], names=["id", *names])
-
-        sums = texts.select("text").mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+            if now is not None:
+                yield from sums_of(now, into[2])
+                used = np.flatnonzero(common.sum(axis=1))
+                numbers = np.concatenate((used, -1 - np.arange(k), [-1 - k, -2 - k, -3 - k]))
+                values = np.concatenate((common[used], steps, starts[None], np.full((1, k), likelihood / k), spent[None]))
+                n = len(numbers)
+                yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(numbers), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.array(values[:, i]) for i in range(k)]], names=columns)
+
+        found = stored(texts.mapInArrow(run, "part long, id long, wid long, c long, " + ", ".join(f"{n} double" for n in names)), "expected")
+        sums = found.where("part is null").groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
         numbers, values = sums["id"].to_numpy(), sums[names].to_numpy()
-        emissions, steps, starts = np.zeros((len(v.shares), states)), np.zeros((states, states)), np.zeros(states)
+        emissions, steps, starts, spent, likelihood = np.zeros((n_known, states)), np.zeros((states, states)), np.zeros(states), np.zeros(states), 0.0
         emissions[numbers[numbers >= 0]] = values[numbers >= 0]
         for number, row in zip(numbers[numbers < 0].tolist(), values[numbers < 0], strict=True):
-            if number == -2 - states:
-                course.append(float(row.sum()))
+            if number == -3 - states:
+                spent = row
+            elif number == -2 - states:
+                likelihood = float(row.sum())
             elif number == -1 - states:
                 starts = row
             else:
                 steps[-1 - number] = row
-        model = maximized(emissions, steps, starts, v)
+        course.append(likelihood)
+        model = maximized(emissions, spent, steps, starts, v)
+        # A word left out of the head is rare by definition, so no key is hot: it has a row a part.
+        same = Window.partitionBy("wid")
+        path = by_part(found.where("part is not null").select("part", "id", "wid", "c", *[F.sum(n).over(same).alias(n) for n in names]))
         shared.unpersist()
-    return model, course
+    return model, course, path
 
 
-def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, head: int = HEAD) -> DataFrame:
+def train(texts: DataFrame, v: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
+    """Baum-Welch over all texts, and the log-likelihood before each maximization."""
+    return fitted(numbered(texts.withColumn("held_out", F.lit(False)), v), v, states, iterations)[:2]
+
+
+def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A null or empty text is its end alone; null ids are trained on; repeated rows count and are scored each; other
@@ -254,60 +423,30 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
     scores are log10 probabilities over the same words, unseen ones together counting as one.
     """
     texts = keyed(docs)
-    training = texts.where(~F.col("held_out"))
-    counts = stored(word_counts(training), "words")
+    counts = stored(word_counts(texts.where(~F.col("held_out"))), "words")
     v = vocabulary(counts, head)
-    model, _ = train(training, v, states, iterations)
-    spark = docs.sparkSession
-    rest_tokens, rest_words = v.rest
-    whole, other = v.total + 0.5 * (v.distinct + 1), rest_tokens + 0.5 * (rest_words + 1)
-    shared = spark.sparkContext.broadcast((v.ids, model, np.append(np.log10((v.counts + 0.5) / whole), 0.0)))
+    rows = numbered(texts, v, part_tokens)
+    model, _, path = fitted(rows, v, states, iterations)
+    whole, n_known = v.whole, len(v.ids)
+    shared = docs.sparkSession.sparkContext.broadcast((model, v.counts, path))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own, logs = shared.value
-        ids = Ids(known)
-        ids.other = len(known)
-        for batch in batches:
-            words, ends = sequences(utf8(batch.column("text")), ids)
+        whole_model, common, place = shared.value
+        now = None
+        for number, batch in runs(batches):
+            if now is None or now.number != number:
+                now = read_part(place, number, n_known)
+                own = part_model(whole_model, now, whole)
+                counts = np.concatenate((common, now.counts))
+                logs = np.log10((counts + 0.5) / whole)
+            words, ends = unpacked(batch.column("ids"))
             likelihood = np.empty(batch.num_rows)
             for picks in slices(np.diff(ends)):
                 likelihood[picks] = forward(own, *by_step(words, ends, picks))[0]
-            unknown = np.add.reduceat((words == ids.other).astype(np.int64), ends[:-1])
+            known = np.add.reduceat((counts[words] > 0).astype(np.int64), ends[:-1])
             base = np.add.reduceat(logs[words], ends[:-1])
-            columns = [batch.column("doc_id"), batch.column("key"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(unknown), pa.array(base), pa.array(likelihood / np.log(10))]
-            yield pa.record_batch(columns, names=["doc_id", "key", "held_out", "n_tokens", "n_rest", "base", "likelihood"])
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(known), pa.array(base), pa.array(likelihood / np.log(10))]
+            yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, words, times = [], [], []
-                for key, text in zip(part.column("key").to_pylist(), utf8(part.column("text")), strict=True):
-                    found = Counter(w for w in text.lower().split() if w not in known)
-                    keys += [key] * len(found)
-                    words += found
-                    times += found.values()
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], names=["key", "word", "n"])
-
-    rows = texts.mapInArrow(score, "doc_id long, key long, held_out boolean, n_tokens long, n_rest long, base double, likelihood double")
-    uses = texts.select("key", "text").mapInArrow(rare, "key long, word string, n long")
-    c = F.coalesce("c", F.lit(0))
-    # A word left out of the head is rare by definition, so no key of this join is hot.
-    sums = (
-        uses.join(counts, "word", "left")
-        .groupBy("key")
-        .agg(F.sum("n").alias("n"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(whole))).alias("rest_base"), F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(other))).alias("rest_score"))
-    )
-    # Rows repeated with id and text share a key, and their sums hold each of them.
-    each = F.when(F.col("n") > 0, F.col("n_rest") / F.col("n"))
-    add = lambda name: F.coalesce(F.col(name) * each, F.lit(0.0))
-    return rows.join(sums, "key", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_tokens") - F.col("n_rest") + F.round(add("known")).cast("long")).alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + add("rest_base")).alias("base_score"),
-        (F.col("likelihood") + add("rest_score")).alias("score"),
-    )
+    out = rows.where("ids is not null").select("part", "doc_id", "held_out", "ids").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")

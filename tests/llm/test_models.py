@@ -86,6 +86,15 @@ def test_scores(docs, rows, nothing, head):
     assert hmm.scored(nothing).count() == 0
 
 
+def test_every_training_word_has_its_own_emissions(docs):
+    """Neither the number of words every task holds nor the parts' size changes a score."""
+    key = lambda x: (str(x["doc_id"]), x["n_tokens"], x["score"])
+    whole = sorted(map(key, hmm.scored(docs).collect()))
+    for head, tokens in ((30, 500), (0, hmm.PART_TOKENS)):
+        got = sorted(map(key, hmm.scored(docs, head=head, part_tokens=tokens).collect()))
+        assert [g[:2] for g in got] == [w[:2] for w in whole] and np.allclose([g[2] for g in got], [w[2] for w in whole], rtol=1e-9)
+
+
 def test_training_raises_the_likelihood(docs):
     texts = hmm.keyed(docs)
     v = hmm.vocabulary(hmm.word_counts(texts))
