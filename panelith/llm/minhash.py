@@ -74,14 +74,14 @@ def minima(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, n_shingles long, node long, bands array<long>, signature binary``; the last three null for an empty set."""
+    """Per row: ``doc_id, key long, n_shingles long, node long, bands array<long>, signature binary``; the key is the text's, the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 yield sketched(batch.slice(at, 2000))
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature binary")
+    return text_only(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, n_shingles long, node long, bands array<long>, signature binary")
 
 
 def nodes_of(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
     take = pa.array(place, pa.int32(), mask=place < 0)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
     signatures = pa.array([x.tobytes() for x in bytes_], pa.binary())
-    return pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes).take(take), lists.take(take), signatures.take(take)], names=["doc_id", "n_shingles", "node", "bands", "signature"])
+    return pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes).take(take), lists.take(take), signatures.take(take)], names=["doc_id", "key", "n_shingles", "node", "bands", "signature"])
 
 
 def agreeing(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -237,6 +237,19 @@ def classes_joined(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return joined
 
 
+def clustered(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, key, n_shingles, component, component_id, kept``; the component is null for an empty set."""
+    rows = stored(sketches(docs), "sketches")
+    joined = classes_joined(rows, docs)
+    slim = rows.select("doc_id", "key", "n_shingles", "node")
+    named = stored(slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
+    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    ids = stored(named.join(least, "component").select("node", "component", "component_id"), "ids")
+    out = slim.join(ids, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "key", "n_shingles", "component", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -249,20 +262,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     collected in one task: hot buckets are aggregated before they are shuffled, joins on them read plain
     shuffles, which adaptive execution splits, and all intermediate tables are written to the shared folder.
     """
-    rows = stored(sketches(docs), "sketches")
-    joined = classes_joined(rows, docs)
-    slim = rows.select("doc_id", "n_shingles", "node")
-    named = stored(slim.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
-    least = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    ids = stored(named.join(least, "component").select("node", "component_id"), "ids")
-    out = slim.join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return clustered(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged: the least id of each component, once; rows without shingles all stay."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"), (F.col("n_shingles") == 0).alias("__bare")).groupBy("__kept").agg(F.max("__bare").alias("__bare"))
-    kept = docs.join(stored(found, "kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("__kept"))).drop("__kept")
-    once = kept.where(~F.col("__bare")).dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("__bare")).drop("__bare")
+    """The rows of ``docs`` that stay, all columns unchanged: one of each component, of its least id and, of several texts under that id, the one of least hash.
+
+    Rows without shingles all stay. Texts of different components stay whether or not they share an id or have none.
+    """
+    first = clustered(docs).where("kept and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("x"))
+    kept = stored(first.select(F.col("x.doc_id").alias("__id"), F.col("x.key").alias("__key")), "kept")
+    text = F.col("text").cast("string")
+    bare = F.coalesce(text, F.lit("")).rlike(r"\A[ \t\n\x0B\f\r]*\z")
+    own = docs.where(~bare).withColumns({"__own_id": F.col("doc_id").cast("long"), "__own": F.xxhash64(text)})
+    once = own.join(kept, F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi").dropDuplicates(["__own_id", "__own"])
+    return once.drop("__own_id", "__own").unionByName(docs.where(bare))

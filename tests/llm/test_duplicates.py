@@ -44,6 +44,17 @@ def test_near_duplicates_equal_brute_force(docs, rows, nothing):
     assert sorted(i for i in ids if i is not None) == sorted({k[0] for k in expected if k[3]})
 
 
+def test_ids_null_or_shared_lose_no_clean_document(spark, docs):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 9) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(6)]
+    copy = lambda t: t + " more"
+    rows = [(None, texts[0]), (None, copy(texts[0])), (None, texts[1]), (1, texts[2]), (None, copy(texts[2])), (2, texts[3]), (2, texts[4]), (2, texts[4]), (3, texts[5]), (4, copy(texts[5])), (4, texts[1]), (None, ""), (None, " \n"), (None, None), (2, "")]
+    got = [tuple(x) for x in minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    zero = [x for x in got if x[1] in (texts[0], copy(texts[0]))]
+    assert len(zero) == 1 and zero[0][0] is None
+    assert Counter(x for x in got if x not in zero) == Counter([(1, texts[2]), (2, texts[3]), (2, texts[4]), (3, texts[5]), (4, texts[1]), (None, ""), (None, " \n"), (None, None), (2, "")])
+
+
 def test_buckets_of_several_components(spark, docs):
     """A chain of texts, each near the next alone, and strays that share much of it."""
     r = random.Random(3)
