@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -194,17 +195,21 @@ def greedy_distinct(features: DataFrame, candidates: list[str], most: float) ->
     return kept
 
 
-def select(ic: DataFrame, features: DataFrame, threshold: float, lags: int, most: float, stride: int = 10) -> DataFrame:
+def select(ic: DataFrame, features: DataFrame | Callable[[list[str]], DataFrame], threshold: float, lags: int, most: float, stride: int = 10) -> DataFrame:
     """``signal, t, ic, sign, passed, kept``: signals beyond the threshold, strongest first, without near copies.
 
-    Correlations are taken over every ``stride``-th date of the training window that ``ic`` covers.
+    Correlations are taken over every ``stride``-th date of the training window that ``ic`` covers. ``features`` may
+    be a function of the signals beyond the threshold, so that only theirs are computed.
     """
     tests = newey_west(ic, "ic", lags, "signal")
     means = ic.groupBy("signal").agg(F.avg("ic").alias("ic"))
     table = means.join(tests.select("signal", "t"), "signal", "left")
     strong = [r["signal"] for r in table.where(F.abs("t") > threshold).orderBy(F.abs("t").desc(), "signal").select("signal").collect()]
     days = every(ic.select("date").distinct(), stride)
-    kept = greedy_distinct(features.join(days, "date", "left_semi"), strong, most)
+    if callable(features):
+        kept = greedy_distinct(features(strong).join(days, "date", "left_semi"), strong, most) if strong else []
+    else:
+        kept = greedy_distinct(features.join(days, "date", "left_semi"), strong, most)
     return table.select("signal", "t", "ic", F.signum("ic").alias("sign"), F.col("signal").isin(strong).alias("passed"), F.col("signal").isin(kept).alias("kept"))
 
 

@@ -22,24 +22,24 @@ Q, LEAST, LAGS, COST, THRESHOLD = 0.2, 5, 10, 5.0, 0.5
 KEEP = ("date", "t", "ticker", "universe", "target", "o")
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate(source.panel(spark, sf_dir), NODES, keep=KEEP)
+def wide(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
+    return evaluate(source.panel(spark, sf_dir), {n: signals.CATALOGUE[n].node for n in names}, keep=KEEP)
 
 
-def long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.long_form(wide(spark, sf_dir).drop("o"), list(NAMES))
+def long_values(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
+    return ev.long_form(wide(spark, sf_dir, names).drop("o"), list(names))
 
 
-def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.daily_stats(long_values(spark, sf_dir), Q, LEAST)
+def stats(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
+    return ev.daily_stats(long_values(spark, sf_dir, names), Q, LEAST)
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = NAMES) -> DataFrame:
     """Centred ranks of the rows that count, one column a signal."""
-    df = wide(spark, sf_dir)
+    df = wide(spark, sf_dir, names)
     day = Window.partitionBy("date")
     member = lambda n: F.when(F.col("universe"), F.col(n))
-    return df.withColumns({n: average_rank(member(n), "date") / F.count(member(n)).over(day) - 0.5 for n in NAMES}).where("universe and target is not null").select("date", "ticker", "target", *NAMES)
+    return df.withColumns({n: average_rank(member(n), "date") / F.count(member(n)).over(day) - 0.5 for n in names}).where("universe and target is not null").select("date", "ticker", "target", *names)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,6 +319,40 @@ def family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tests.groupBy("family").agg(F.count(F.lit(1)).alias("tested"), F.sum((F.abs("t") > THRESHOLD).cast("long")).alias("passed"))
 
 
+# --- the whole catalogue ------------------------------------------------------
+
+ALL = tuple(signals.CATALOGUE)
+#: The reference's threshold of t.
+STRONG = 3.0
+
+
+@query()
+def factory_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``daily_signal_stats`` of all signals."""
+    return tidy(stats(spark, sf_dir, ALL))
+
+
+@query()
+def factory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``summarize_signal`` of all signals: IC, its t, Sharpe ratios and turnover."""
+    return tidy(ev.summary(stats(spark, sf_dir, ALL), COST, LAGS))
+
+
+@query()
+def factory_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All signals with t, whether beyond the threshold, and whether kept beside stronger ones they correlate with."""
+    daily = stats(spark, sf_dir, ALL)
+    return tidy(ev.select(daily, lambda strong: features(spark, sf_dir, tuple(strong)).select("date", "ticker", *strong), STRONG, LAGS, 0.8))
+
+
+@query()
+def factory_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many signals of each family are tested, and pass."""
+    meta = spark.createDataFrame([(n, s.family) for n, s in signals.CATALOGUE.items()], "signal string, family string")
+    tests = meta.join(ev.newey_west(stats(spark, sf_dir, ALL), "ic", LAGS, "signal"), "signal", "left")
+    return tests.groupBy("family").agg(F.count(F.lit(1)).alias("tested"), F.sum(F.coalesce(F.abs("t") > STRONG, F.lit(False)).cast("long")).alias("passed"))
+
+
 # --- winners and losers -----------------------------------------------------
 
 H, TAIL, SPLIT = 21, 0.1, "1996-01-01"
