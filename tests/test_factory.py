@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
+
 from panelith import panel_queries as q
 from panelith import queries as core
 from panelith.functions import signals
+from panelith.operators import models
 
 
 def test_every_signal_is_tested(spark, small):
@@ -16,3 +19,10 @@ def test_scoring_in_a_larger_catalogue_changes_no_signal(spark, small):
     extra = tuple(n for n in q.ALL if n not in q.NAMES)[:20]
     rows = lambda names: {(r["date"], r["signal"], r["ic"], r["n"]) for r in q.tidy(q.stats(spark, small, names)).where(q.F.col("signal").isin(*q.NAMES)).collect()}
     assert rows((*q.NAMES, *extra)) == rows(q.NAMES)
+
+
+def test_trees_are_the_references_size_unless_asked(spark):
+    assert {k: models.TREES[k] for k in ("maxIter", "maxDepth", "stepSize")} == {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05}
+    train = spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(200)], "x double, y double")
+    distinct = {n: models.regression(train, train, ["x"], "y", "p", {"maxIter": n, "maxDepth": 1}).where("x = 6").first()["p"] for n in (1, 12)}
+    assert all(p == pytest.approx(1, abs=0.2) for p in distinct.values())
