@@ -156,12 +156,6 @@ def summarize_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ev.summary(stats(spark, sf_dir), COST, LAGS))
 
 
-@query()
-def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = stats(spark, sf_dir).where(F.col("signal") == NAMES[0])
-    return tidy(ev.deflated_sharpe(daily, "ls", [0.1 * k for k in range(36)]))
-
-
 @query(with_([*STATS, *nw_sql("stats", "ic", "signal")], f"SELECT signal, round(t, 6) + 0.0 AS t, round(mean, 6) + 0.0 AS ic, sign(mean)::DOUBLE AS sign, coalesce(abs(t) > {THRESHOLD}, false) AS passed FROM (SELECT DISTINCT signal FROM stats) LEFT JOIN nw USING (signal)"))
 def signal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = ev.select(stats(spark, sf_dir), features(spark, sf_dir).select("date", "ticker", *NAMES), THRESHOLD, LAGS, 0.8)
@@ -277,14 +271,6 @@ def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(daily.groupBy(F.year("date").alias("year")).agg(F.sum(net).alias("ls_net"), F.avg("ls_to").alias("turnover"), (F.product(1 + F.col("ls_gross")) - 1).alias("compounded")))
 
 
-@query()
-def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every half-life and band of the vote, best net Sharpe ratio first."""
-    daily = pf.config_grid({"simple": scores(spark, sf_dir)}, 0.2, [0, 3, 10], {"noband": None, "band40": 0.4})
-    net = daily.withColumn("net", F.col("ls_gross") - F.col("ls_to") * COST / 1e4)
-    return tidy(net.groupBy("config").agg(ev.sharpe("net").alias("val_sharpe"), (F.avg("net") * 252).alias("ann"), F.avg("ls_to").alias("turnover")).orderBy(F.col("val_sharpe").desc(), "config"))
-
-
 @query()
 def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five series before and from 1996, as performance tables."""
@@ -457,12 +443,64 @@ def weekly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models -----------------------------------------------------------------
 
 
+FIRST, LAST, AHEAD = 1997, 1998, 5
+
+
+def predictions(spark: SparkSession, sf_dir: str, h: int = 1, trees: dict | None = None) -> DataFrame:
+    """Out-of-sample predictions of the vote and two boosted-tree combiners, fitted on returns over ``h`` dates."""
+    rows = features(spark, sf_dir)
+    embargo = 5
+    if h == 1:
+        labelled = rows.withColumn("y_rank", average_rank(F.col("target"), "date") / F.count("target").over(Window.partitionBy("date")) - 0.5)
+        daily = stats(spark, sf_dir)
+    else:
+        labels = ev.horizon_labels(source.panel(spark, sf_dir), h)
+        labelled = rows.join(labels.select("date", "ticker", F.col("y_rank_h").alias("y_rank")), ["date", "ticker"], "left")
+        stacked = rows.unpivot(["date", "ticker"], list(NAMES), "signal", "feature").withColumn("feature", F.col("feature").cast("float"))
+        daily, embargo = ev.horizon_ic(stacked, labels, LEAST), max(embargo, h + 2)
+    return models.walk_forward(labelled, daily, list(NAMES), first_year=FIRST, last_year=LAST, embargo=embargo, threshold=THRESHOLD, lags=LAGS, most=0.8, trees=trees)
+
+
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-sample predictions of the vote and two boosted-tree combiners, year by year."""
-    rows = features(spark, sf_dir)
-    labelled = rows.withColumn("y_rank", average_rank(F.col("target"), "date") / F.count("target").over(Window.partitionBy("date")) - 0.5)
-    return tidy(models.walk_forward(labelled, stats(spark, sf_dir), list(NAMES), first_year=1997, last_year=1998, embargo=5, threshold=THRESHOLD, lags=LAGS, most=0.8))
+    return tidy(predictions(spark, sf_dir))
+
+
+def configurations(spark: SparkSession, sf_dir: str, trees: dict | None = None) -> DataFrame:
+    """Daily net series of the 36 configurations: three models at two horizons, half-lives and bands."""
+    grid = source.panel(spark, sf_dir).where(F.year("date").between(FIRST, LAST)).select("date", "t", "ticker", "target", "o", "c")
+    frames = {}
+    for h in (1, AHEAD):
+        both = grid.join(predictions(spark, sf_dir, h, trees).drop("target"), ["date", "ticker"], "left").persist()
+        for m in ("simple", "trees_selected", "trees_all"):
+            frames[m if h == 1 else f"h{h}_{m}"] = both.withColumn("score", F.col(m)).select(*grid.columns, "score")
+    daily = pf.config_grid(frames, 0.2, [0, 3, 10], {"noband": None, "band40": 0.4})
+    return daily.withColumn("net", F.col("ls_gross") - F.col("ls_to") * COST / 1e4).select("config", "date", "net", "ls_to").persist()
+
+
+def ranked_configurations(daily: DataFrame) -> DataFrame:
+    """Configurations by their net Sharpe ratio before the last year, which is held out."""
+    before = daily.where(F.year("date") < LAST)
+    return before.groupBy("config").agg(ev.sharpe("net").alias("val_sharpe"), (F.avg("net") * 252).alias("ann"), F.avg("ls_to").alias("turnover")).orderBy(F.col("val_sharpe").desc_nulls_last(), "config")
+
+
+def deflated(daily: DataFrame) -> DataFrame:
+    """The chosen configuration's series of the held-out year, deflated by the ratios of all."""
+    trials = ranked_configurations(daily).collect()
+    chosen = daily.where((F.col("config") == trials[0]["config"]) & (F.year("date") == LAST))
+    return ev.deflated_sharpe(chosen, "net", [r["val_sharpe"] for r in trials if r["val_sharpe"] is not None])
+
+
+@query()
+def config_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model, half-life and band, best net Sharpe ratio first."""
+    return tidy(ranked_configurations(configurations(spark, sf_dir)))
+
+
+@query()
+def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(deflated(configurations(spark, sf_dir)))
 
 
 @query()

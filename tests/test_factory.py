@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 
 from panelith import panel_queries as q
 from panelith import queries as core
 from panelith.functions import signals
+from panelith.operators import evaluation as ev
 from panelith.operators import models
 
 
@@ -26,3 +29,13 @@ def test_trees_are_the_references_size_unless_asked(spark):
     train = spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(200)], "x double, y double")
     distinct = {n: models.regression(train, train, ["x"], "y", "p", {"maxIter": n, "maxDepth": 1}).where("x = 6").first()["p"] for n in (1, 12)}
     assert all(p == pytest.approx(1, abs=0.2) for p in distinct.values())
+
+
+def test_deflation_uses_the_trials_of_the_data(spark):
+    days = [datetime.date(y, 1, 1) + datetime.timedelta(k) for y in (1997, 1998) for k in range(60)]
+    rows = [(c, d, 0.01 * a * ((k * 7919 + i) % 11 - 4), 0.1) for i, (c, a) in enumerate((("one", 1.0), ("two", -1.0), ("three", 0.5))) for k, d in enumerate(days)]
+    daily = spark.createDataFrame(rows, "config string, date date, net double, ls_to double")
+    trials = q.ranked_configurations(daily).collect()
+    series = daily.where((q.F.col("config") == trials[0]["config"]) & (q.F.year("date") == 1998))
+    assert q.deflated(daily).first() == ev.deflated_sharpe(series, "net", [r["val_sharpe"] for r in trials]).first()
+    assert q.deflated(daily.where("config <> 'two'")).first()["dsr"] != q.deflated(daily).first()["dsr"]
