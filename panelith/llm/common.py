@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,16 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where driver and executors are one process is there one of our own instead."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else "file:///tmp/checkpoints/panelith"
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(root)
+        if held.isDefined():
+            return held.get().rstrip("/")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file:///tmp/checkpoints/panelith"
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
@@ -39,8 +43,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: it survives lost executors and cuts lineage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["scratch"] = path
+    return out
+
+
+def delete(spark: SparkSession, *paths: str | None) -> None:
+    """Deletes scratch folders, in whatever file system they are."""
+    for path in paths:
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes ``stored`` tables that nothing reads any more: what was made of them must be stored itself."""
+    for table in tables:
+        if table is not None:
+            delete(table.sparkSession, table.__dict__.pop("scratch", None))
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +91,46 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+#: Text bytes that a worker takes apart at once; a longer text is taken alone.
+PIECE_BYTES = 4_000_000
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``limit`` bytes of ``column``, or of one row."""
+    if not batch.num_rows:
+        return
+    held = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(held), 0).to_numpy(zero_copy_only=False)
+    sums = np.cumsum(sizes)
+    start = 0
+    while start < len(sums):
+        before = sums[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sums, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def release() -> None:
+    """Gives a worker's caches and freed memory back to the system."""
+    WORDS.clear()
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # other C libraries than GNU's have no such call
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow`` whose worker, which Spark keeps for later tasks, holds nothing when the task is over."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -137,8 +206,3 @@ def inside(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def text_only(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column of the input can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def local_folder() -> str:
-    """A private folder of this process, for files nobody else needs."""
-    return tempfile.mkdtemp()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from panelith.llm.common import partitions, stored, text_only
 
-#: Blocks of prefix sums that the driver holds after each step of refinement, at most about twice as many.
+#: Blocks of prefix sums that the driver asks for in each step of refinement; it holds a few times as many.
 BLOCKS = 32_768
 
 
@@ -92,11 +92,15 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, blocks:
     Each step brackets the capacity by cautious and hopeful greedy passes over the blocks
     held, then refines only blocks that some capacity in the bracket can cut. It ends when
     both passes agree and no cut is in doubt.
+
+    Widths are powers of two, so a finer block lies in one coarser block and bounds only tighten: what is in doubt
+    after a step lies in what that step refined. As each step at least halves the width, and blocks of width one hold one
+    end, there are no more steps than the total has binary digits.
     """
     if not total:
         return 0, []
     low, high = max(-(-total // shards), largest), -(-total // shards) + largest
-    width = max(1, -(-total // blocks))
+    width = 1 << (-(-total // blocks) - 1).bit_length()
     held = summary(ends, [(1, total)], width)
     while True:
         low = least_capacity(held, shards, low, high, cautious=False)
@@ -109,10 +113,13 @@ def minimax_cuts(ends: DataFrame, total: int, largest: int, shards: int, blocks:
         for _ in range(shards):
             a, b = held.before(a + low)[0], min(total, held.before(b + high)[1])
             i, j = np.searchsorted(held.least, [a, b], "right") - 1
-            inner = [(int(held.least[k]), int(held.most[k])) for k in range(max(i, 0), j + 1) if held.count[k] > 2]
-            spans += inner
+            doubt = max(i, 0) + np.flatnonzero(held.count[max(i, 0) : j + 1] > 2)
+            if len(doubt):
+                spans.append((int(held.least[doubt[0]]), int(held.most[doubt[-1]])))
         spans = merged(spans)
-        width = max(1, -(-sum(y - x + 1 for x, y in spans) // blocks))
+        assert spans and width > 1, "bounds agree wherever blocks hold at most two ends"
+        wanted = -(-sum(y - x + 1 for x, y in spans) // blocks)
+        width = min(width // 2, 1 << (wanted - 1).bit_length())
         finer = summary(ends, spans, width)
         outside = np.ones(len(held.least), bool)
         for x, y in spans:
