@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelith.llm.common import stored
+from panelith.llm.common import drop, stored
 
 
 def _least_neighbours(pairs: DataFrame) -> DataFrame:
     """Rows ``u, v`` with ``m``, the least of u and its neighbours. Both sides of the join are plain shuffles, so a node with very many neighbours is split."""
-    least = stored(pairs.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
-    return pairs.join(least, "u")
+    return pairs.join(pairs.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "u")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -42,5 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     held = stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not is_forest_of_stars(held):
-        held = stored(small_star(stored(large_star(held), "edges")), "edges")
+        wide = stored(large_star(held), "edges")
+        near = stored(small_star(wide), "edges")
+        drop(held, wide)
+        held = near
     return held.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("x")).select("x.*").distinct()
