@@ -121,12 +121,16 @@ def release() -> None:
         pass
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow`` whose worker, which Spark keeps for later tasks, holds nothing when the task is over."""
+Batches = Iterator[pa.RecordBatch]
 
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def frugal(run: Callable[[Batches], Batches], column: str | None = None, limit: int = PIECE_BYTES) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow`` that gets its batches in ``pieces`` of a column, if one is named, and whose worker,
+    which Spark keeps for later tasks, holds nothing when the task is over."""
+
+    def wrapped(batches: Batches) -> Batches:
         try:
-            yield from run(batches)
+            yield from run(batches if column is None else (piece for batch in batches for piece in pieces(batch, column, limit)))
         finally:
             release()
 

@@ -15,10 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from panelith.llm.common import partitions, utf8
+from panelith.llm.common import PIECE_BYTES, frugal, partitions, utf8
 
-#: Documents in one block.
-BLOCK_ROWS = 2000
 STEP = 0xFFFF
 
 
@@ -123,21 +121,19 @@ def counted_bucket(rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
             yield block, unsteps(places)[marks].astype("<i8").tobytes()
 
 
-def repeated_places(keyed: DataFrame, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], finish: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, bytes]]], block_rows_: int = BLOCK_ROWS) -> DataFrame:
+def repeated_places(keyed: DataFrame, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], finish: Callable[[np.ndarray, np.ndarray], Iterator[tuple[int, bytes]]], block_bytes: int = PIECE_BYTES) -> DataFrame:
     """``key long, spans binary`` of documents (``key long, text string``) in which a value repeats.
 
     ``make`` gives the values of a block of texts, their rising places, and the offset of each text among
     all places. ``finish`` gets a mark for each place of a block and the same offsets, and gives the number of a
-    document in the block and what is to be said of it.
+    document in the block and what is to be said of it. A block has ``block_bytes`` of text, or one text.
     """
     n = partitions(keyed.sparkSession)
     bits = bucket_bits(n)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, block_rows_):
-                part = batch.slice(at, block_rows_)
-                yield from to_batches(block_rows(part.column("key").to_numpy(), *make(utf8(part.column("text"))), bits))
+            yield from to_batches(block_rows(batch.column("key").to_numpy(), *make(utf8(batch.column("text"))), bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One bucket at a time: rows come sorted by bucket."""
@@ -169,8 +165,8 @@ def repeated_places(keyed: DataFrame, make: Callable[[list[bytes]], tuple[np.nda
             marks[np.frombuffer(places, "<i8")] = True
         return pd.DataFrame([(int(keys[i]), data) for i, data in finish(marks, ends)], columns=["key", "spans"])
 
-    dealt = keyed.select("key", "text").mapInArrow(blocks, BLOCK_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket")
-    replies = dealt.mapInArrow(count, "block long, places binary, keys binary, ends binary")
+    dealt = keyed.select("key", "text").mapInArrow(frugal(blocks, "text", block_bytes), BLOCK_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket")
+    replies = dealt.mapInArrow(frugal(count), "block long, places binary, keys binary, ends binary")
     return replies.groupBy("block").applyInPandas(gather, "key long, spans binary").dropDuplicates(["key"])
 
 

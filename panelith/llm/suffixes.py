@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelith.llm.common import inside, mixed, partitions, utf8, window_hashes
+from panelith.llm.common import frugal, inside, mixed, partitions, utf8, window_hashes
 from panelith.llm.repeats import bucket_bits, covered_spans, repeated_places, window_starts
 
 LENGTH = 200
@@ -166,6 +166,67 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     return [at[a:b] - start for a, b, start in zip(cuts[:-1].tolist(), cuts[1:].tolist(), ends[:-1].tolist(), strict=True)]
 
 
+def searched_starts(parts: list[bytes], length: int, sort_bytes: int, gram: int) -> list[np.ndarray]:
+    """``repeated_starts`` of distinct parts that are whole groups by their least ``gram``-byte string; too many to sort at once are dealt out anew by a longer one.
+
+    Equal windows have the same least string of any length, so they stay together. At the full length a group's windows are equal.
+    """
+    if sum(map(len, parts)) <= sort_bytes or gram >= length:
+        return repeated_starts(parts, length)
+    gram = min(length, gram + max(1, (length - gram + 1) // 2))
+    groups, of, at, counts = [], [], [], []
+    a = size = 0
+    for b in range(len(parts) + 1):
+        if b == len(parts) or size + len(parts[b]) > sort_bytes and b > a:
+            own, starts, sizes, _, ends, _ = runs(parts[a:b], length, gram)
+            text = np.searchsorted(ends, starts, "right") - 1
+            groups.append(own)
+            of.append(text + a)
+            at.append(starts - ends[text])
+            counts.append(sizes)
+            a, size = b, 0
+        if b < len(parts):
+            size += len(parts[b])
+    groups, of, at, counts = (np.concatenate(x) for x in (groups, of, at, counts))
+    order = np.argsort(groups, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], groups[order][1:] != groups[order][:-1], [True])))
+    out: list[list[np.ndarray]] = [[] for _ in parts]
+    held: list[bytes] = []
+    uses: list[list[int]] = []
+
+    def settle() -> None:
+        for found, runs_ in zip(searched_starts(held, length, sort_bytes, gram) if held else [], uses, strict=True):
+            if len(found):
+                for i in runs_:
+                    out[of[i]].append(found + at[i])
+        held.clear()
+        uses.clear()
+
+    size = 0
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        own: dict[bytes, list[int]] = {}
+        for i in order[a:b].tolist():
+            own.setdefault(parts[of[i]][at[i] : at[i] + counts[i] + length - 1], []).append(i)
+        if len(own) > 1:
+            more = sum(map(len, own))
+            if size + more > sort_bytes:
+                settle()
+                size = 0
+            size += more
+        for part, runs_ in own.items():
+            if len(runs_) > 1:
+                for i in runs_:
+                    out[of[i]].append(np.arange(counts[i]) + at[i])
+            if len(own) > 1:
+                held.append(part)
+                uses.append(runs_)
+    settle()
+    none = np.empty(0, np.int64)
+    return [np.unique(np.concatenate(x)) if x else none for x in out]
+
+
 PART_SCHEMA = "bucket int, block long, groups binary, sizes binary, data binary, numbers binary, many binary, keys binary, ends binary, windows binary, uses binary, starts binary"
 PART_NAMES = [x.split()[0] for x in PART_SCHEMA.split(", ")]
 PART_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 10]
@@ -206,7 +267,7 @@ def part_rows(keys: np.ndarray, texts: list[bytes], wanted: list[bytes], length:
     yield int(name % (1 << bits)), name, *[None] * 5, keys.astype("<i8").tobytes(), ends.astype("<i8").tobytes(), np.array(windows, "<i8").tobytes(), uses.astype("<i8").tobytes(), starts.astype("<i8").tobytes()
 
 
-def found_in(rows: list[tuple], length: int) -> Iterator[tuple[int, bytes, bytes]]:
+def found_in(rows: list[tuple], length: int, sort_bytes: int = SORT_BYTES) -> Iterator[tuple[int, bytes, bytes]]:
     """For the rows of some whole groups: each block's parts with repeated strings, as the parts' numbers and starts.
 
     A part used more than once is repeated as a whole. The windows of one part differ from each other, so a group with
@@ -227,7 +288,7 @@ def found_in(rows: list[tuple], length: int) -> Iterator[tuple[int, bytes, bytes
         of_group.setdefault(group, set()).add(i)
     searched = sorted({i for own in of_group.values() if len(own) > 1 for i in own})
     none = np.empty(0, np.int64)
-    starts = dict(zip(searched, repeated_starts([parts[i] for i in searched], length), strict=True)) if searched else {}
+    starts = dict(zip(searched, searched_starts([parts[i] for i in searched], length, sort_bytes, DEAL_GRAM), strict=True)) if searched else {}
     whole = {i: np.arange(len(p) - length + 1) for i, p in enumerate(parts) if times[i] > 1}
     by_block: dict[int, tuple[list, list]] = {}
     for block, number, i in uses:
@@ -274,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sort_bytes: int = SORT
         ready: list[tuple] = []
 
         def answer(rows: list[tuple]) -> pa.RecordBatch:
-            found = list(zip(*found_in(rows, length), strict=True)) or [[], [], []]
+            found = list(zip(*found_in(rows, length, sort_bytes), strict=True)) or [[], [], []]
             empty = pa.nulls(len(found[0]), pa.binary())
             return pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary()), pa.array(found[2], pa.binary()), *[empty] * 5], names=names)
 
@@ -283,7 +344,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sort_bytes: int = SORT
             held.sort(key=lambda x: x[0])
             last = None
             for group, *row in held:
-                if group != last and size >= sort_bytes:
+                if group != last and size >= sort_bytes // 2:
                     yield answer(ready)
                     ready.clear()
                     size = 0
@@ -321,11 +382,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, sort_bytes: int = SORT
         marks[inside(starts, windows[uses])] = found[inside(offsets[uses], windows[uses])]
         return pd.DataFrame([(int(keys[i]), data) for i, data in covered_spans(marks, ends, length)], columns=["key", "spans"])
 
-    suspects = repeated_places(docs, group_runs, marked, 500)
+    suspects = repeated_places(docs, group_runs, marked, BLOCK_BYTES)
     # doc_id is read so that this shuffle of texts is the very one that the caller's join reuses.
     texts = docs.join(suspects, "key").select("doc_id", "text", "key", "spans")
-    dealt = texts.mapInArrow(split, PART_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket")
-    replies = dealt.mapInArrow(search, "block long, numbers binary, places binary, keys binary, ends binary, windows binary, uses binary, starts binary")
+    dealt = texts.mapInArrow(frugal(split), PART_SCHEMA).repartition(n, "bucket").sortWithinPartitions("bucket")
+    replies = dealt.mapInArrow(frugal(search), "block long, numbers binary, places binary, keys binary, ends binary, windows binary, uses binary, starts binary")
     return replies.groupBy("block").applyInPandas(gather, "key long, spans binary").dropDuplicates(["key"])
 
 
@@ -356,7 +417,7 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(pairs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], names=["doc_id", "kept", "spans"])
 
     own = keyed(docs)
-    return own.join(repeated_spans(own, length), "key", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:long,stop:long>>")
+    return own.join(repeated_spans(own, length), "key", "left").select("doc_id", "text", "spans").mapInArrow(frugal(run, "text"), "doc_id long, kept binary, spans array<struct<start:long,stop:long>>")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -378,4 +439,4 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     own = keyed(docs)
     found = own.join(repeated_spans(own, length), "key", "left").select("doc_id", "text", "key", "spans")
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.mapInArrow(frugal(run, "text"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -131,3 +131,64 @@ def test_expansion_equals_brute_force():
 @pytest.mark.parametrize("places", [[], [0], [65534], [65535], [0, 65535, 65536, 200000], [131069], [131070, 131071], list(range(50))])
 def test_packed_places(places):
     assert repeats.unsteps(repeats.steps(np.array(places, np.int64))).tolist() == places
+
+
+@pytest.mark.parametrize("sort_bytes", [300, 2_000, 1 << 30])
+def test_groups_too_large_to_sort_at_once(sort_bytes):
+    r = random.Random(4)
+    base = bytes(r.choice(b"abcdefgh ") for _ in range(400))
+    parts = set()
+    for _ in range(150):
+        own = bytearray(base)
+        for _ in range(r.randint(1, 4)):
+            own[r.randrange(len(own))] = r.choice(b"XYZ")
+        a = r.randint(0, 100)
+        parts.add(bytes(own[a : a + r.randint(210, 300)]))
+    parts = sorted(parts)
+    seen = Counter(p[i : i + 200] for p in parts for i in range(len(p) - 199))
+    assert [x.tolist() for x in suffixes.searched_starts(parts, 200, sort_bytes, 32)] == [[i for i in range(len(p) - 199) if seen[p[i : i + 200]] > 1] for p in parts]
+
+
+def test_ten_thousand_near_copies_of_one_passage(spark, docs):
+    r = random.Random(5)
+    base = bytes(r.choice(b"abcdefgh ") for _ in range(300))
+    rows = []
+    for i in range(10_000):
+        own = bytearray(base)
+        own[r.randrange(300)] = r.choice(b"STUVWXYZ")
+        rows.append((i, own.decode()))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = Counter(t[i : i + 200] for _, t in rows for i in range(101))
+    expected = {}
+    for i, t in rows:
+        gone = np.zeros(300, bool)
+        for k in range(101):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        expected[i] = int(gone.sum())
+    own = suffixes.keyed(frame)
+    spans = suffixes.repeated_spans(own, 200, sort_bytes=50_000)
+    got = {x["doc_id"]: sum(b - a for a, b in np.frombuffer(x["spans"], "<i8").reshape(-1, 2).tolist()) if x["spans"] else 0 for x in own.join(spans, "key", "left").select("doc_id", "spans").collect()}
+    assert got == expected
+
+
+def test_near_copies_of_a_hub_equal_brute_force(spark, docs):
+    """Copies of one text at many distances: some linked to it, some to each other alone, some to none; and excerpts."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(160):
+        own = base[:]
+        for _ in range(r.randint(1, 9)):
+            own[r.randrange(120)] = f"e{r.randint(0, 40)}"
+        a = r.choice([0, 0, 0, r.randint(0, 40)])
+        texts.append(" ".join(own[a : r.choice([120, 120, r.randint(80, 120)])]))
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, row_id long, Kept_key string")
+    sets = [shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame).collect()} == dict(enumerate(least)) and len(set(least)) > 5
+    assert {x["doc_id"] for x in minhash.deduplicated(frame).collect()} == set(least)
