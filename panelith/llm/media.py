@@ -170,7 +170,7 @@ def retried(act, again, tries: int = TRIES):
     for turn in range(tries):
         try:
             return act()
-        except (OSError, ValueError):
+        except (OSError, ValueError, struct.error, zlib.error, zipfile.BadZipFile):
             if turn == tries - 1:
                 raise
             time.sleep(PAUSE_S * 2**turn)

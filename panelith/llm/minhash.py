@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelith.llm.common import drop, frugal, mixed, partitions, pieces, powers, stored, text_only, unused, utf8, window_hashes, word_hashes
+from panelith.llm.common import drop, frugal, mixed, partitions, powers, stored, text_only, unused, utf8, window_hashes, word_hashes
 from panelith.llm.components import components
 
 SHINGLE = 5
@@ -79,13 +79,10 @@ def minima(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, key long, n_shingles long, node binary, bands array<long>, signature binary``; the key is the text's, the last three are null for an empty set."""
 
-    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch):
-                yield sketched(piece)
+        yield from map(sketched, batches)
 
-    return text_only(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, n_shingles long, node binary, bands array<long>, signature binary")
+    return text_only(docs).withColumn("key", F.xxhash64("text")).mapInArrow(frugal(run, "text"), "doc_id long, key long, n_shingles long, node binary, bands array<long>, signature binary")
 
 
 def nodes_of(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -130,16 +127,15 @@ def class_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
-                values, ends = shingle_sets(utf8(piece.column("text")))
-                sets = pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-                yield pa.record_batch([piece.column("node"), sets], names=["node", "shingles"])
+            values, ends = shingle_sets(utf8(batch.column("text")))
+            sets = pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            yield pa.record_batch([batch.column("node"), sets], names=["node", "shingles"])
 
     names = classes.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "node")
     own = text_only(docs).withColumn("key", F.xxhash64("text"))
     # Rows of one id and one text are one: any of them tells the set.
     found = own.join(names, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))).select("node", "text").dropDuplicates(["node"])
-    return found.mapInArrow(frugal(run), "node binary, shingles binary")
+    return found.mapInArrow(frugal(run, "text"), "node binary, shingles binary")
 
 
 COMPARED = "center binary, node binary, size int, shared int, linked boolean, rest binary"
@@ -190,7 +186,7 @@ def rarity(held: DataFrame) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.int64)
     # At most one row a counter.
-    rows = held.select("rest").mapInArrow(frugal(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = held.select("rest").mapInArrow(frugal(run, "rest"), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
@@ -208,20 +204,20 @@ def rare_shingles(held: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = shared.value
         for batch in batches:
-            for piece in pieces(batch, "rest"):
-                picks, places, takes, sizes = [], [], [], piece.column("size").to_numpy()
-                for center, size, rest in zip(piece.column("center").to_pylist(), sizes.tolist(), piece.column("rest").to_pylist(), strict=True):
-                    own = np.frombuffer(rest, np.uint64)
-                    own = own[np.lexsort((own, counters[(own >> shift).astype(np.int64)]))][: size + (-3 * size) // 4 + 1]
-                    picks.append(mixed(own ^ np.uint64(xxhash.xxh3_64_intdigest(center))))
-                    places.append(np.arange(1, len(own) + 1, dtype=np.int32))
-                    takes.append(len(own))
+            picks, places, takes, rests = [], [], [], batch.column("rest").to_pylist()
+            for center, size, rest in zip(batch.column("center").to_pylist(), batch.column("size").to_pylist(), rests, strict=True):
+                own = np.frombuffer(rest, np.uint64)
+                own = own[np.lexsort((own, counters[(own >> shift).astype(np.int64)]))][: size + (-3 * size) // 4 + 1]
+                picks.append(mixed(own ^ np.uint64(xxhash.xxh3_64_intdigest(center))))
+                places.append(np.arange(1, len(own) + 1, dtype=np.int32))
+                takes.append(len(own))
+            if picks:
                 of = pa.array(np.repeat(np.arange(len(takes)), takes))
-                outside = pa.array(np.repeat([len(x) // 8 for x in piece.column("rest").to_pylist()], takes).astype(np.int32))
-                columns = [pa.array(np.concatenate(picks).view(np.int64)), piece.column("node").take(of), piece.column("side").take(of), piece.column("size").take(of), piece.column("shared").take(of), pa.array(np.concatenate(places)), outside]
+                outside = pa.array(np.repeat([len(x) // 8 for x in rests], takes).astype(np.int32))
+                columns = [pa.array(np.concatenate(picks).view(np.int64)), batch.column("node").take(of), batch.column("side").take(of), batch.column("size").take(of), batch.column("shared").take(of), pa.array(np.concatenate(places)), outside]
                 yield pa.record_batch(columns, names=["slot", "node", "side", "size", "shared", "place", "outside"])
 
-    return held.select("center", "node", "side", "size", "shared", "rest").mapInArrow(frugal(run), "slot long, node binary, side long, size int, shared int, place int, outside int")
+    return held.select("center", "node", "side", "size", "shared", "rest").mapInArrow(frugal(run, "rest"), "slot long, node binary, side long, size int, shared int, place int, outside int")
 
 
 def pairs_left(members: DataFrame, found: DataFrame, joined: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelith.llm import word_tokens
-from panelith.llm.common import partitions, stored, text_only
+from panelith.llm.common import frugal, partitions, stored, text_only
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -55,7 +55,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
-    return text_only(docs).mapInArrow(run, schema)
+    return text_only(docs).mapInArrow(frugal(run, "text"), schema)
 
 
 def best_fit(ids: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

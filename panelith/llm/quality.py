@@ -4,7 +4,8 @@ Features are exact integer counts over whole texts. For every stratum and rule,
 from lenient to strict in a fixed sequence; each is tested on labelled holdout documents by
 an exact binomial bound on the share of good documents it would reject, and the sequence ends
 at the first cutoff that fails. The error rate is shared by all strata and rules, so that
-with probability ``1 - error`` no stratum loses more good documents than ``max_false_rejection``.
+with probability ``1 - error`` no stratum's certified rules reject a greater share than ``max_false_rejection`` of its good
+documents that pass the base rule. What the base rule rejects is fixed beforehand and not part of the guarantee.
 """
 
 from __future__ import annotations
@@ -15,17 +16,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelith.llm.common import mixed, stored, utf8, window_hashes, word_hashes
+from panelith.llm.common import frugal, mixed, stored, unused, utf8, window_hashes, word_hashes
 from panelith.llm.repeats import covered, window_starts
 
 SYMBOLS, WHITE = b"#*$%&|<>", b" \t\n\v\f\r"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_cased", "n_exclaims")
-FEATURES = "__quality"
+FEATURES = "quality_counts"
 
 
 @dataclass(frozen=True)
@@ -94,30 +96,30 @@ def counts(texts: list[bytes], characters: list[int]) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and a struct of the counts, row by row, without a shuffle.
+def with_counts(docs: DataFrame, name: str = FEATURES) -> DataFrame:
+    """``docs`` with all its columns and a struct ``name`` of the counts, row by row, without a shuffle.
 
-    A null text counts as an empty one.
+    A null text counts as an empty one. A worker takes texts apart a few megabytes at a time.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(FEATURES, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            found = counts(utf8(text), [len(x or "") for x in text.to_pylist()])
+            found = counts(utf8(text), pc.fill_null(pc.utf8_length(text), 0).to_pylist())
             made = pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in COUNTS], names=list(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, FEATURES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run, "text"), schema)
 
 
-def base_failed(risk: Risk = Risk()) -> Column:
-    c = F.col(FEATURES)
+def base_failed(risk: Risk = Risk(), name: str = FEATURES) -> Column:
+    c = F.col(name)
     return (c["n_words"] < risk.least_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
 
 
-def rejects(rule: Rule, cutoff: float) -> Column:
-    c = F.col(FEATURES)
+def rejects(rule: Rule, cutoff: float, name: str = FEATURES) -> Column:
+    c = F.col(name)
     return c[rule.numerator] > F.lit(cutoff) * F.greatest(c[rule.denominator], F.lit(1))
 
 
@@ -125,27 +127,33 @@ def stratum(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def binomial_tail(rejected: int, n: int, p: float) -> float:
+    """The probability of ``rejected`` or fewer of n at share p."""
+    if p <= 0 or rejected >= n:
+        return 1.0
+    if p >= 1:
+        return 0.0
+    k = np.arange(1, rejected + 1, dtype=np.float64)
+    logs = np.concatenate(([0.0], np.cumsum(np.log((n - k + 1) / k) + math.log(p) - math.log1p(-p)))) + n * math.log1p(-p)
+    most = logs.max()
+    return min(1.0, math.exp(most) * float(np.exp(logs - most).sum()))
+
+
 def binomial_upper(rejected: int, n: int, error: float) -> float:
     """The exact (Clopper-Pearson) upper bound of a share: the p at which ``rejected`` or fewer of n have probability ``error``."""
     if rejected >= n:
         return 1.0
-
-    def at_most(p: float) -> float:
-        terms = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(rejected + 1)]
-        most = max(terms)
-        return math.exp(most) * sum(math.exp(t - most) for t in terms)
-
     low, high = rejected / n, 1.0
-    for _ in range(60):
+    while high - low > 1e-12:
         middle = (low + high) / 2
-        if middle <= 0 or at_most(middle) > error:
+        if binomial_tail(rejected, n, middle) > error:
             low = middle
         else:
             high = middle
     return high
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, by: str = "lang", risk: Risk = Risk()) -> list[dict]:
+def calibrate(counted: DataFrame, labels: DataFrame, by: str = "lang", risk: Risk = Risk(), name: str = FEATURES) -> list[dict]:
     """Certified cutoffs as rows ``stratum, rule, cutoff, n_good, false_rejects, bound, bad_rejected``.
 
     ``labels`` is ``doc_id, quality``; a document with several labels counts by the lowest, null
@@ -155,35 +163,36 @@ def calibrate(counted: DataFrame, labels: DataFrame, by: str = "lang", risk: Ris
     Only strata with enough good documents to certify anything come to the driver.
     """
     share = risk.max_false_rejection / len(risk.rules)
-    held = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__good"))
-    joined = counted.where(~base_failed(risk)).select("doc_id", stratum(by).alias("__stratum"), FEATURES).join(held, "doc_id")
-    good = F.col("__good") >= 1
+    held = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least"))
+    joined = counted.where(~base_failed(risk, name)).select("doc_id", stratum(by).alias("stratum"), F.col(name).alias(FEATURES)).join(held, "doc_id")
+    good = F.col("least") >= 1
     sums = [F.sum((good & rejects(r, c)).cast("long")).alias(f"g{i}_{j}") for i, r in enumerate(risk.rules) for j, c in enumerate(r.cutoffs)]
     sums += [F.sum((~good & rejects(r, c)).cast("long")).alias(f"b{i}_{j}") for i, r in enumerate(risk.rules) for j, c in enumerate(r.cutoffs)]
     fewest = math.ceil(math.log(risk.error / len(risk.rules)) / math.log1p(-share))
-    rows = joined.groupBy("__stratum").agg(F.sum(good.cast("long")).alias("n"), *sums).where(F.col("n") >= fewest).orderBy("__stratum").collect()
+    rows = joined.groupBy("stratum").agg(F.sum(good.cast("long")).alias("n"), *sums).where(F.col("n") >= fewest).orderBy("stratum").collect()
     error = risk.error / max(1, len(rows) * len(risk.rules))
     out = []
     for row in rows:
         for i, rule in enumerate(risk.rules):
             best = None
             for j, cutoff in enumerate(rule.cutoffs):
-                bound = binomial_upper(row[f"g{i}_{j}"], row["n"], error)
-                if bound > share:
+                # One tail sum tells whether the upper bound is at most the share.
+                if binomial_tail(row[f"g{i}_{j}"], row["n"], share) > error:
                     break
                 if row[f"b{i}_{j}"] > (best["bad_rejected"] if best else 0):
-                    best = {"stratum": row["__stratum"], "rule": rule.name, "cutoff": cutoff, "n_good": row["n"], "false_rejects": row[f"g{i}_{j}"], "bound": bound, "bad_rejected": row[f"b{i}_{j}"]}
+                    best = {"stratum": row["stratum"], "rule": rule.name, "cutoff": cutoff, "n_good": row["n"], "false_rejects": row[f"g{i}_{j}"], "bad_rejected": row[f"b{i}_{j}"]}
             if best:
+                best["bound"] = binomial_upper(best["false_rejects"], best["n_good"], error)
                 out.append(best)
     return out
 
 
-def rejected_by(cutoffs: list[dict], by: str = "lang", risk: Risk = Risk()) -> Column:
+def rejected_by(cutoffs: list[dict], by: str = "lang", risk: Risk = Risk(), name: str = FEATURES) -> Column:
     """Whether a certified rule of the row's own stratum rejects it."""
     rules = {r.name: r for r in risk.rules}
     out = F.lit(False)
     for x in cutoffs:
-        out = out | ((stratum(by) == x["stratum"]) & rejects(rules[x["rule"]], x["cutoff"]))
+        out = out | ((stratum(by) == x["stratum"]) & rejects(rules[x["rule"]], x["cutoff"], name))
     return out
 
 
@@ -194,7 +203,7 @@ def judged(docs: DataFrame, labels: DataFrame, by: str = "lang", risk: Risk = Ri
     their own; repeated rows are judged each; clashing names do no harm, as only doc_id, text and the stratum are read.
     Without labels, or with too few, the base rule decides alone; an empty table gives no rows.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(by).alias(by))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(by).cast("string").alias(by))
     counted = stored(with_counts(plain).drop("text"), "quality")
     cutoffs = calibrate(counted, labels, by, risk)
     failed = base_failed(risk)
@@ -204,9 +213,11 @@ def judged(docs: DataFrame, labels: DataFrame, by: str = "lang", risk: Risk = Ri
 def filtered(docs: DataFrame, labels: DataFrame, by: str = "lang", risk: Risk = Risk()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns unchanged.
 
-    Counts are made twice, for the cutoffs and for the verdict, so that texts are never shuffled.
+    Null, empty and short texts fail the base rule and go; repeated rows stay or go together; null strata form one of their
+    own; column names can't clash; an empty table gives no rows. The rows are written once with their counts, so that
+    texts are taken apart once and never shuffled.
     """
-    plain = docs.select("doc_id", "text", by)
-    counted = stored(with_counts(plain).drop("text"), "quality")
-    cutoffs = calibrate(counted, labels, by, risk)
-    return with_counts(docs).where(~base_failed(risk) & ~rejected_by(cutoffs, by, risk)).drop(FEATURES)
+    name = unused(docs.columns, FEATURES)
+    counted = stored(with_counts(docs, name), "quality")
+    cutoffs = calibrate(counted, labels, by, risk, name)
+    return counted.where(~base_failed(risk, name) & ~rejected_by(cutoffs, by, risk, name)).drop(name)

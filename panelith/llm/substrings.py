@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelith.llm.common import utf8, window_hashes, word_hashes
+from panelith.llm.common import frugal, unused, utf8, window_hashes, word_hashes
 from panelith.llm.repeats import covered_spans, repeated_places, window_starts
 
 WIDTH = 35
@@ -66,26 +66,28 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    return plain.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return plain.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(frugal(run, "text"), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with all columns; a text that loses words becomes its kept words joined by one space, and
-    ``n_chars``, where there is such a column, its new length. Other texts stay as they are, null included."""
+    ``n_chars``, where there is such a column, its new length. Other texts stay as they are, null included; rows repeated with their id and text
+    both lose what they share; other column names can't clash; an empty table gives no rows."""
     names = docs.columns
+    key, held = unused(names, "row_key"), unused(names, "row_spans")
     spans = repeated_spans(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            spans = batch.column("__spans").to_pylist()
+            spans = batch.column(held).to_pylist()
             lost = {i: b" ".join(kept_words(texts[i].encode(), s)[0]).decode() for i, s in enumerate(spans) if s is not None}
             columns = {n: batch.column(n) for n in names}
             columns["text"] = pa.array([lost.get(i, t) for i, t in enumerate(texts)], batch.schema.field("text").type)
             if "n_chars" in columns:
-                held = columns["n_chars"].to_pylist()
-                columns["n_chars"] = pa.array([len(lost[i]) if i in lost else n for i, n in enumerate(held)], batch.schema.field("n_chars").type)
+                chars = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(lost[i]) if i in lost else n for i, n in enumerate(chars)], batch.schema.field("n_chars").type)
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    joined = docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left").drop("__key")
-    return joined.mapInArrow(run, T.StructType(docs.schema.fields))
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(spans.select(F.col("key").alias(key), F.col("spans").alias(held)), key, "left").drop(key)
+    return joined.mapInArrow(frugal(run, "text"), T.StructType(docs.schema.fields))
