@@ -65,7 +65,8 @@ def runs(texts: list[bytes], length: int, gram: int, among: np.ndarray | None =
     starts = np.flatnonzero(new)
     seen = np.cumsum(valid)
     sizes = np.diff(np.append(seen[starts] - 1, seen[-1] if len(seen) else 0))
-    return least[starts], starts, sizes, np.searchsorted(starts, ends), ends, data
+    # Least hashes are small; mixed, they are dealt out evenly by their leading bits.
+    return mixed(least[starts]), starts, sizes, np.searchsorted(starts, ends), ends, data
 
 
 def sorted_suffixes(codes: np.ndarray, depth: int) -> np.ndarray:
