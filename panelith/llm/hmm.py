@@ -2,38 +2,48 @@
 
 Every word of the training texts has emissions of its own in every state; words never trained on
 share one. The most frequent words are a table of bounded size that every task holds. Documents are
-dealt once into parts of bounded size, whose texts become word numbers; the emissions of a part's other
-words are a table by word, brought to the part's own file in each iteration.
+dealt once into parts of bounded size, whose texts become word numbers. A part's other words are dealt out by their
+hash, packed, so that the parts' expected counts meet and their sums return to each part's own file in every iteration.
+
+Words are told apart by 64-bit hashes. Posteriors are rounded to 1/1024 where they are made, so that their sums are the same in
+any order and short to send; the likelihood is that of the model, without rounding.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelith.llm.common import mixed, scratch_path, stored, utf8
+from panelith.llm.common import delete, drop, frugal, mixed, partitions, scratch_path, stored, utf8
+from panelith.llm.repeats import bucket_bits
 
 STATES = 4
 #: Words whose emissions every task holds, at most; those of the others reach each part by file. It makes no difference to the result.
-HEAD = 65_536
+HEAD = 131_072
 #: Tokens after which a part of the documents ends.
 PART_TOKENS = 4_000_000
+#: Steps of Baum-Welch.
 ITERATIONS = 3
 #: Tokens whose forward and backward values are held at once.
-SLICE_TOKENS = 500_000
+SLICE_TOKENS = 200_000
 #: Pseudo-counts, spread as all words are, that each state starts a maximization with.
 PRIOR = 100.0
 #: The end of a text: no word is empty.
 END = b""
+#: What an occurrence's posteriors sum to.
+UNITS = 1024
+#: Frequent words whose sums travel in one row.
+CHUNK = 8192
 
 
 def held_out() -> Column:
@@ -43,11 +53,17 @@ def held_out() -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), held_out().alias("held_out"))
+    return own.select("doc_id", "text", held_out().alias("held_out"))
+
+
+def word_hash(word: bytes) -> int:
+    """Signed, as columns are."""
+    value = xxhash.xxh3_64_intdigest(word)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """``word string, c long`` of all tokens, the end of each text as the empty word. Counts combine in each batch and each task."""
+    """``wid long, c long`` of all tokens, the end of each text as the empty word. Counts combine in each piece and each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,16 +71,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in utf8(batch.column("text")):
                 found.update(text.lower().split())
             found[END] += batch.num_rows
-            yield pa.record_batch([pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            yield pa.record_batch([pa.array(list(map(word_hash, found)), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["wid", "n"])
 
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(frugal(run, "text", 16_000_000), "wid long, n long").groupBy("wid").agg(F.sum("n").alias("c"))
 
 
 @dataclass
 class Vocabulary:
-    """The frequent words with their counts and hashes, the sums over all words, and the counts of all."""
+    """The frequent words' hashes and counts, and the sums over all words and the counts of all."""
 
-    ids: dict[bytes, int]
     counts: np.ndarray
     hashes: np.ndarray
     total: int
@@ -88,10 +103,10 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         if taken > head:
             break
         least = row["c"]
-    wanted = (F.col("word") == "") if least is None else (F.col("c") >= least) | (F.col("word") == "")
-    rows = counts.where(wanted).select("word", "c", F.xxhash64("word").alias("wid")).orderBy(F.col("c").desc(), "word").toPandas()
-    ids = {w.encode(): i for i, w in enumerate(rows["word"])}
-    return Vocabulary(ids, rows["c"].to_numpy(np.int64), rows["wid"].to_numpy(np.int64), int(sums["total"]), int(sums["distinct"]), counts)
+    end = F.col("wid") == word_hash(END)
+    wanted = end if least is None else (F.col("c") >= least) | end
+    rows = counts.where(wanted).orderBy(F.col("c").desc(), "wid").toPandas()
+    return Vocabulary(rows["c"].to_numpy(np.int64), rows["wid"].to_numpy(np.int64), int(sums["total"]), int(sums["distinct"]), counts)
 
 
 @dataclass
@@ -127,7 +142,7 @@ def first_model(v: Vocabulary, states: int) -> Model:
             sums = unscaled(batch.column("c").to_numpy(), batch.column("wid").to_numpy(), None, whole, states).sum(axis=0)
             yield pa.record_batch([pa.array([x]) for x in sums], names=names)
 
-    tilted = v.table.select("c", F.xxhash64("word").alias("wid")).mapInArrow(run, ", ".join(f"{n} double" for n in names))
+    tilted = v.table.select("c", "wid").mapInArrow(frugal(run), ", ".join(f"{n} double" for n in names))
     sums = tilted.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in names]).first()
     norm = np.array(sums) + 0.5 / whole
     step = np.full((states, states), 0.02 / max(1, states - 1))
@@ -138,94 +153,177 @@ def first_model(v: Vocabulary, states: int) -> Model:
 class Ids(dict):
     """Numbers of frequent words; any other word has the next free number of its part."""
 
-    def __init__(self, known: dict[bytes, int]):
-        super().__init__(known)
-        self.known = len(known)
+    def __init__(self, known: dict[int, int]):
+        super().__init__()
+        self.known = known
+        self.others: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
+        wid = word_hash(word)
+        value = self.known.get(wid)
+        if value is None:
+            value = len(self.known) + len(self.others)
+            self.others.append(wid)
+        self[word] = value
         return value
 
-    def others(self) -> list[bytes]:
-        return list(self)[self.known :]
+
+BASE_SCHEMA = "doc_id long, held_out boolean, ids binary, bucket int, wids binary, uses binary, part long"
+BASE_FIELDS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("bucket", pa.int32()), ("wids", pa.binary()), ("uses", pa.binary()), ("part", pa.int64())])
 
 
-def numbered(texts: DataFrame, v: Vocabulary, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """Documents in parts: rows ``part, doc_id, held_out, ids`` with a text's word numbers, its end included, and rows ``part, id, word`` of each part's words that are not frequent."""
-    shared = texts.sparkSession.sparkContext.broadcast(v.ids)
-    fields = pa.schema([("part", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("id", pa.int32()), ("word", pa.string())])
+def numbered(texts: DataFrame, v: Vocabulary, part_tokens: int = PART_TOKENS) -> str:
+    """Writes documents in a folder for each part: rows ``doc_id, held_out, ids`` with a text's word numbers, its end included, and rows ``bucket, wids, uses``
+    with the hashes of the part's words that are not frequent and how often it trains on them. These words' numbers follow the frequent ones' in the order of the rows."""
+    spark = texts.sparkSession
+    shared, bits = spark.sparkContext.broadcast(v.hashes), bucket_bits(partitions(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = {w: i for i, w in enumerate(shared.value.tolist())}
         part, tokens, ids = TaskContext.get().partitionId() << 32, 0, Ids(known)
+        held: list[tuple] = []
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            wids = np.array(ids.others, np.int64)
+            buckets = (wids.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(buckets, kind="stable")
+            place = np.arange(len(known) + len(wids), dtype=np.int32)
+            place[len(known) + order] = len(known) + np.arange(len(wids), dtype=np.int32)
+            uses = np.zeros(len(place), np.int64)
+            for doc_ids, out, values, ends in held:
+                values = place[values]
+                n = len(doc_ids)
+                uses += np.bincount(values[np.repeat(~out.to_numpy(zero_copy_only=False), np.diff(ends))], minlength=len(place))
+                texts_ = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(values)])
+                yield pa.record_batch([doc_ids, out, texts_, *[pa.nulls(n, x.type) for x in list(BASE_FIELDS)[3:6]], pa.array(np.full(n, part))], schema=BASE_FIELDS)
+            cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1, append=-1)).tolist()
+            own, uses = wids[order], uses[len(known) :].astype("<u4")
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pa.record_batch([*[pa.nulls(1, x.type) for x in list(BASE_FIELDS)[:3]], pa.array([int(buckets[order[a]])], pa.int32()), pa.array([own[a:b].astype("<i8").tobytes()], pa.binary()), pa.array([uses[a:b].tobytes()], pa.binary()), pa.array([part])], schema=BASE_FIELDS)
+
+        for batch in batches:
+            values, ends = sequences(utf8(batch.column("text")), ids)
+            held.append((batch.column("doc_id"), batch.column("held_out"), values.astype(np.int32), ends))
+            tokens += len(values)
+            if tokens >= part_tokens:
+                yield from finished()
+                part, tokens, ids = part + 1, 0, Ids(known)
+                held.clear()
+        if held:
+            yield from finished()
+
+    path = scratch_path(spark, "numbered")
+    # A task writes the parts it makes.
+    texts.select("doc_id", "held_out", "text").mapInArrow(frugal(run, "text", 1_000_000), BASE_SCHEMA).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    return path
+
+
+def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers of at least 0 in two, four or eight bytes each, as the greatest needs; the first byte tells which."""
+    most = int(values.max()) if values.size else 0
+    width = 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + np.ascontiguousarray(values).astype(f"<u{width}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
 
-        def words() -> Iterator[pa.RecordBatch]:
-            others = ids.others()
-            for at in range(0, len(others), 50_000):
-                own = others[at : at + 50_000]
-                n, first = len(own), ids.known + at
-                yield pa.record_batch([pa.array(np.full(n, part)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(own, pa.binary()).cast(pa.string())], schema=fields)
+SENT, BACK = "bucket int, part long, ranks binary, uses binary, units binary", "bucket int, ranks binary, units binary, part long"
+SENT_KINDS, BACK_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 3], [pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 
+
+def rows_of(rows: list[tuple], kinds: list, schema: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+
+def exchanged(sent: DataFrame, total: Callable[[int, list[tuple]], Iterator[tuple]]) -> str:
+    """Brings the rows of each bucket together, a bucket at a time, and writes what ``total`` makes of them in a folder for each part."""
+    spark = sent.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
-                n = rows.num_rows
-                values, ends = sequences(utf8(rows.column("text")), ids)
-                held = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
-                yield pa.record_batch([pa.array(np.full(n, part)), rows.column("doc_id"), rows.column("held_out"), held, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=fields)
-                tokens += len(values)
-                if tokens >= part_tokens:
-                    yield from words()
-                    part, tokens, ids = part + 1, 0, Ids(known)
-        yield from words()
-
-    return stored(texts.select("doc_id", "held_out", "text").mapInArrow(run, "part long, doc_id long, held_out boolean, ids binary, id int, word string"), "numbered")
-
-
-def by_part(words: DataFrame) -> str:
-    """Writes ``words`` in a folder for each part; returns their place."""
-    path = scratch_path(words.sparkSession, "part-words")
-    words.repartition("part").write.partitionBy("part").parquet(path)
+            for bucket, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if bucket != now and held:
+                    yield rows_of(list(total(now, held)), BACK_KINDS, BACK)
+                    held = []
+                now = bucket
+                held.append(tuple(row))
+        if held:
+            yield rows_of(list(total(now, held)), BACK_KINDS, BACK)
+
+    dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    path = scratch_path(spark, "part-words")
+    dealt.mapInArrow(frugal(run), BACK).repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(path)
     return path
 
 
-def part_words(rows: DataFrame, v: Vocabulary) -> str:
-    """The words of each part with hash and training count, 0 for words never trained on."""
-    own = rows.where("word is not null").select("part", "id", "word")
-    return by_part(own.join(v.table, "word", "left").select("part", "id", F.xxhash64("word").alias("wid"), F.coalesce("c", F.lit(0)).alias("c")))
+def first_counts(spark: SparkSession, base: str) -> str:
+    """For each part's other words: their rank among all of their bucket, and how often all parts train on them."""
+
+    def total(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        wids = [np.frombuffer(x[2], "<i8") for x in rows]
+        distinct, inverse = np.unique(np.concatenate(wids), return_inverse=True)
+        counts = np.zeros(len(distinct), np.int64)
+        np.add.at(counts, inverse, np.concatenate([np.frombuffer(x[3], "<u4") for x in rows]).astype(np.int64))
+        at = 0
+        for (part, *_), own in zip(rows, wids, strict=True):
+            ranks = inverse[at : at + len(own)]
+            at += len(own)
+            yield bucket, narrow(ranks), narrow(counts[ranks]), part
+
+    words = read(spark, base, BASE_SCHEMA).where("bucket is not null")
+    return exchanged(words.select("bucket", "part", F.lit(None).cast("binary").alias("ranks"), F.col("wids"), F.col("uses")), total)
 
 
 @dataclass
 class Part:
-    """A part's words that are not frequent, in the order of their numbers, with expected counts over all parts if there are any."""
+    """A part's words that are not frequent, in the order of their numbers: bucket by bucket, with expected units over all parts if there are any."""
 
     number: int
+    buckets: list[int]
+    sizes: list[int]
+    ranks: list[bytes]
     hashes: np.ndarray
     counts: np.ndarray
     sums: np.ndarray | None
 
 
-def read_part(path: str, part: int, known: int) -> Part:
+def part_rows(path: str, part: int, columns: list[str]) -> list[dict]:
+    """A part's rows that have a bucket, by bucket."""
     system, folder = fs.FileSystem.from_uri(path)
     folder = f"{folder}/part={part}"
     if system.get_file_info(folder).type == fs.FileType.NotFound:
-        return Part(part, np.empty(0, np.int64), np.empty(0, np.int64), None)
-    files = [x.path for x in system.get_file_info(fs.FileSelector(folder)) if x.path.endswith(".parquet")]
-    tables = []
-    for file in files:
-        with system.open_input_file(file) as handle:
-            tables.append(pq.ParquetFile(handle).read())
-    table = pa.concat_tables(tables)
-    at = table.column("id").to_numpy() - known
-    hashes, counts = np.zeros(at.max() + 1, np.int64), np.zeros(at.max() + 1, np.int64)
-    hashes[at], counts[at] = table.column("wid").to_numpy(), table.column("c").to_numpy()
-    names = [n for n in table.column_names if n.startswith("s")]
+        return []
+    out: list[dict] = []
+    for file in system.get_file_info(fs.FileSelector(folder)):
+        if file.path.endswith(".parquet"):
+            with system.open_input_file(file.path) as handle:
+                table = pq.ParquetFile(handle).read(columns=["bucket", *columns])
+                out += table.filter(table.column("bucket").is_valid()).to_pylist()
+    return sorted(out, key=lambda x: x["bucket"])
+
+
+def joined(parts: list[np.ndarray], kind: type = np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def read_part(paths: tuple[str, str, str | None], part: int, states: int) -> Part:
+    base, first, last = paths
+    words, found = part_rows(base, part, ["wids"]), part_rows(first, part, ["ranks", "units"])
+    hashes = [np.frombuffer(x["wids"], "<i8") for x in words]
+    counts = joined([wide(x["units"]) for x in found])
     sums = None
-    if names:
-        sums = np.zeros((len(counts), len(names)))
-        for i, n in enumerate(names):
-            sums[at, i] = table.column(n).to_numpy()
-    return Part(part, hashes, counts, sums)
+    if last:
+        units = joined([wide(x["units"]) for x in part_rows(last, part, ["units"])]).reshape(-1, states - 1)
+        sums = np.column_stack((units, UNITS * counts - units.sum(axis=1))) / UNITS
+    return Part(part, [x["bucket"] for x in words], [len(x) for x in hashes], [x["ranks"] for x in found], joined(hashes), counts, sums)
 
 
 def part_model(model: Model, part: Part, whole: float) -> Model:
@@ -306,6 +404,16 @@ def forward(model: Model, words: np.ndarray, offsets: np.ndarray, keep: bool = F
     return out, values, scales, emit
 
 
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Posteriors of occurrences as whole units that sum to ``UNITS`` and are never less than 0."""
+    out = np.rint(values * UNITS)
+    out[:, -1] = UNITS - out[:, :-1].sum(axis=1)
+    short = np.flatnonzero(out[:, -1] < 0)
+    out[short, out[short].argmax(axis=1)] += out[short, -1]
+    out[short, -1] = 0
+    return out
+
+
 def expected(model: Model, words: np.ndarray, offsets: np.ndarray, into: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Adds expected starts, steps and emissions of the texts; returns their log-likelihood."""
     starts, steps, emissions = into
@@ -325,8 +433,9 @@ def expected(model: Model, words: np.ndarray, offsets: np.ndarray, into: tuple[n
         values[a:b] *= back
     steps += moves * model.step
     starts += values[: cuts[1]].sum(axis=0)
+    units = rounded(values)
     for s in range(len(starts)):
-        emissions[:, s] += np.bincount(words, weights=values[:, s], minlength=len(emissions))
+        emissions[:, s] += np.bincount(words, weights=units[:, s], minlength=len(emissions)) / UNITS
     return float(likelihood.sum())
 
 
@@ -338,23 +447,37 @@ def maximized(sums: np.ndarray, spent: np.ndarray, steps: np.ndarray, starts: np
     return Model(starts / starts.sum(), steps / steps.sum(axis=1, keepdims=True), emit, norm)
 
 
-def fitted(rows: DataFrame, v: Vocabulary, states: int, iterations: int) -> tuple[Model, list[float], str]:
-    """Baum-Welch over the ``numbered`` rows not held out: each task adds up its expected counts a part, Spark adds the parts' by word.
+def fitted(spark: SparkSession, base: str, v: Vocabulary, states: int, iterations: int) -> tuple[Model, list[float], tuple[str, str, str | None]]:
+    """Baum-Welch over the ``numbered`` rows not held out: each task adds up its expected counts a part, and buckets of words add the parts'.
 
     What returns to the driver is one row a frequent word, which ``HEAD`` bounds. The second result is the
-    log-likelihood before each maximization, the third the place of the parts' words with their expected counts.
+    log-likelihood before each maximization, the third where the parts' words, their counts and their expected counts are.
     """
-    spark, whole, n_known = rows.sparkSession, v.whole, len(v.ids)
-    texts = rows.where("ids is not null").select("part", "held_out", "ids")
-    model, course, path = first_model(v, states), [], part_words(rows, v)
-    names = [f"s{i}" for i in range(states)]
-    columns = ["part", "id", "wid", "c", *names]
+    whole, n_known, k = v.whole, len(v.counts), states
+    texts = read(spark, base, BASE_SCHEMA).where("ids is not null").select("part", "held_out", "ids")
+    paths = base, first_counts(spark, base), None
+    model, course = first_model(v, states), []
+    # Rows of other sums: starts, steps, what each state spends, and the likelihood.
+    rest = -1 - -(-n_known // CHUNK)
+
+    def total(bucket: int, rows: list[tuple]) -> Iterator[tuple]:
+        if bucket < 0:
+            kind = "<f8" if bucket == rest else "<i8"
+            yield bucket, None, sum(np.frombuffer(x[3], kind) for x in rows).astype(kind).tobytes(), -1
+            return
+        ranks = [wide(x[1]) for x in rows]
+        sums = np.zeros((max(int(x.max()) for x in ranks) + 1, k - 1), np.int64)
+        for own, row in zip(ranks, rows, strict=True):
+            np.add.at(sums, own, wide(row[3]).reshape(len(own), k - 1))
+        # Rows of a part that several tasks read are one.
+        for part, own in {row[0]: own for own, row in zip(ranks, rows, strict=True)}.items():
+            yield bucket, None, narrow(sums[own]), part
+
     for _ in range(iterations):
-        shared = spark.sparkContext.broadcast((model, path))
+        shared = spark.sparkContext.broadcast((model, paths))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            whole_model, place = shared.value
-            k = states
+            whole_model, places = shared.value
             common, steps, starts, spent = np.zeros((n_known, k)), np.zeros((k, k)), np.zeros(k), np.zeros(k)
             likelihood, now = 0.0, None
 
@@ -362,18 +485,18 @@ def fitted(rows: DataFrame, v: Vocabulary, states: int, iterations: int) -> tupl
                 nonlocal common, spent
                 common += found[:n_known]
                 spent += found.sum(axis=0)
-                n = len(part.counts)
-                for at in range(0, n, 50_000):
-                    size = min(50_000, n - at)
-                    cut = slice(at, at + size)
-                    own = [pa.array(found[n_known:][cut, i].copy()) for i in range(k)]
-                    yield pa.record_batch([pa.array(np.full(size, part.number)), pa.array(np.arange(at, at + size) + n_known), pa.array(part.hashes[cut]), pa.array(part.counts[cut]), *own], names=columns)
+                units = np.rint(found[n_known:, : k - 1] * UNITS).astype(np.int64)
+                at, out = 0, []
+                for bucket, size, ranks in zip(part.buckets, part.sizes, part.ranks, strict=True):
+                    out.append((bucket, part.number, ranks, None, narrow(units[at : at + size])))
+                    at += size
+                yield rows_of(out, SENT_KINDS, SENT)
 
             for number, batch in runs(batches):
                 if now is None or now.number != number:
                     if now is not None:
                         yield from sums_of(now, into[2])
-                    now = read_part(place, number, n_known)
+                    now = read_part(places, number, k)
                     own = part_model(whole_model, now, whole)
                     into = starts, steps, np.zeros((len(own.emit), k))
                 words, ends = unpacked(batch.filter(pa.array(~batch.column("held_out").to_numpy(zero_copy_only=False))).column("ids"))
@@ -381,38 +504,30 @@ def fitted(rows: DataFrame, v: Vocabulary, states: int, iterations: int) -> tupl
                     likelihood += expected(own, *by_step(words, ends, picks), into)
             if now is not None:
                 yield from sums_of(now, into[2])
-                used = np.flatnonzero(common.sum(axis=1))
-                numbers = np.concatenate((used, -1 - np.arange(k), [-1 - k, -2 - k, -3 - k]))
-                values = np.concatenate((common[used], steps, starts[None], np.full((1, k), likelihood / k), spent[None]))
-                n = len(numbers)
-                yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(numbers), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *[pa.array(values[:, i]) for i in range(k)]], names=columns)
-
-        found = stored(texts.mapInArrow(run, "part long, id long, wid long, c long, " + ", ".join(f"{n} double" for n in names)), "expected")
-        sums = found.where("part is null").groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        numbers, values = sums["id"].to_numpy(), sums[names].to_numpy()
-        emissions, steps, starts, spent, likelihood = np.zeros((n_known, states)), np.zeros((states, states)), np.zeros(states), np.zeros(states), 0.0
-        emissions[numbers[numbers >= 0]] = values[numbers >= 0]
-        for number, row in zip(numbers[numbers < 0].tolist(), values[numbers < 0], strict=True):
-            if number == -3 - states:
-                spent = row
-            elif number == -2 - states:
-                likelihood = float(row.sum())
-            elif number == -1 - states:
-                starts = row
-            else:
-                steps[-1 - number] = row
+                units = np.rint(common * UNITS).astype("<i8")
+                out = [(-1 - at // CHUNK, -1, None, None, units[at : at + CHUNK].tobytes()) for at in range(0, n_known, CHUNK)]
+                out.append((rest, -1, None, None, np.concatenate((starts, steps.reshape(-1), spent, [likelihood])).astype("<f8").tobytes()))
+                yield rows_of(out, SENT_KINDS, SENT)
+
+        path = exchanged(texts.mapInArrow(frugal(run, "ids"), SENT), total)
+        found = {x["bucket"]: bytes(x["units"]) for x in read(spark, path, BACK).where("part = -1").collect()}
+        emissions = np.zeros((n_known, k))
+        starts, steps, spent, likelihood = np.zeros(k), np.zeros((k, k)), np.zeros(k), 0.0
+        if found:
+            emissions = np.concatenate([np.frombuffer(found[b], "<i8") for b in range(-1, rest, -1)] or [np.empty(0)]).reshape(n_known, k) / UNITS
+            other = np.frombuffer(found[rest], "<f8")
+            starts, steps, spent, likelihood = other[:k], other[k : k + k * k].reshape(k, k), other[k + k * k : -1], float(other[-1])
         course.append(likelihood)
         model = maximized(emissions, spent, steps, starts, v)
-        # A word left out of the head is rare by definition, so no key is hot: it has a row a part.
-        same = Window.partitionBy("wid")
-        path = by_part(found.where("part is not null").select("part", "id", "wid", "c", *[F.sum(n).over(same).alias(n) for n in names]))
+        delete(spark, paths[2])
+        paths = paths[0], paths[1], path
         shared.unpersist()
-    return model, course, path
+    return model, course, paths
 
 
 def train(texts: DataFrame, v: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> tuple[Model, list[float]]:
-    """Baum-Welch over all texts, and the log-likelihood before each maximization."""
-    return fitted(numbered(texts.withColumn("held_out", F.lit(False)), v), v, states, iterations)[:2]
+    """Baum-Welch over all texts, and the log-likelihood before each maximization. Null and empty texts are their end alone."""
+    return fitted(texts.sparkSession, numbered(texts.withColumn("held_out", F.lit(False)), v), v, states, iterations)[:2]
 
 
 def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -422,20 +537,22 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
     columns are ignored; without training rows every word is unknown, and an empty table gives no rows. Both
     scores are log10 probabilities over the same words, unseen ones together counting as one.
     """
+    spark = docs.sparkSession
     texts = keyed(docs)
     counts = stored(word_counts(texts.where(~F.col("held_out"))), "words")
     v = vocabulary(counts, head)
-    rows = numbered(texts, v, part_tokens)
-    model, _, path = fitted(rows, v, states, iterations)
-    whole, n_known = v.whole, len(v.ids)
-    shared = docs.sparkSession.sparkContext.broadcast((model, v.counts, path))
+    base = numbered(texts, v, part_tokens)
+    model, _, paths = fitted(spark, base, v, states, iterations)
+    drop(counts)
+    whole, common_counts = v.whole, v.counts
+    shared = spark.sparkContext.broadcast((model, common_counts, paths))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole_model, common, place = shared.value
+        whole_model, common, places = shared.value
         now = None
         for number, batch in runs(batches):
             if now is None or now.number != number:
-                now = read_part(place, number, n_known)
+                now = read_part(places, number, states)
                 own = part_model(whole_model, now, whole)
                 counts = np.concatenate((common, now.counts))
                 logs = np.log10((counts + 0.5) / whole)
@@ -444,9 +561,10 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS,
             for picks in slices(np.diff(ends)):
                 likelihood[picks] = forward(own, *by_step(words, ends, picks))[0]
             known = np.add.reduceat((counts[words] > 0).astype(np.int64), ends[:-1])
-            base = np.add.reduceat(logs[words], ends[:-1])
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(known), pa.array(base), pa.array(likelihood / np.log(10))]
+            base_ = np.add.reduceat(logs[words], ends[:-1])
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(ends)), pa.array(known), pa.array(base_), pa.array(likelihood / np.log(10))]
             yield pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = rows.where("ids is not null").select("part", "doc_id", "held_out", "ids").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    rows = read(spark, base, BASE_SCHEMA).where("ids is not null").select("part", "doc_id", "held_out", "ids")
+    out = rows.mapInArrow(frugal(score, "ids"), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"), "base_score", "score")
