@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 TS, XS, ROW = "TS", "XS", "ROW"
-TS_OPS = {"lag", "mean", "sum", "std", "max", "min", "rank", "age_max", "age_min", "skew", "kurt", "ewm", "streak"}
+TS_OPS = {"lag", "mean", "sum", "std", "max", "min", "rank", "age_max", "age_min", "skew", "kurt", "cov", "corr", "ewm", "streak"}
 
 
 def observations(w: int) -> int:
@@ -135,13 +135,9 @@ def above(x, bound: float, value):
     return Node("above", (x, value), (float(bound),))
 
 
-def known_count(*xs):
-    """How many of the values are known."""
-    return Node("known_count", xs)
-
-
-def zero_if_null(x):
-    return Node("zero_if_null", (x,))
+def known_mean(*xs):
+    """The mean of those values that are known; NULL if none is."""
+    return Node("known_mean", xs)
 
 
 def lag(x, k: int):
@@ -210,19 +206,23 @@ def xs_rank(x):
 
 
 def ts_cov(x, y, w: int):
-    """Population covariance of rows where both are known."""
-    a, b = where_both(x, y), where_both(y, x)
-    return ts_mean(a * b, w) - ts_mean(a, w) * ts_mean(b, w)
+    """Population covariance of rows where both are known, by central moments."""
+    return Node("cov", (where_both(x, y), where_both(y, x)), (w, observations(w)))
+
+
+def to_digits(x, digits: int = 10):
+    """x rounded, so that values which differ by rounding noise alone are ties to a later rank."""
+    return Node("digits", (x,), (digits,))
+
+
+def line_fit(x, y, w: int):
+    """Correlation of rows where both are known, kept within -1 and 1; NULL where the spread is next to none."""
+    return Node("corr", (where_both(x, y), where_both(y, x)), (w, observations(w)))
 
 
 def ts_corr(x, y, w: int):
-    """Correlation of rows where both are known; NULL where the spread is next to none."""
-    a, b = where_both(x, y), where_both(y, x)
-    ma, mb = ts_mean(a, w), ts_mean(b, w)
-    va = at_least(ts_mean(a * a, w) - ma * ma, 0)
-    vb = at_least(ts_mean(b * b, w) - mb * mb, 0)
-    spread = sqrt(va * vb)
-    return clipped(above(spread, 1e-12, (ts_mean(a * b, w) - ma * mb) / spread), -1, 1)
+    """``line_fit`` to ten digits."""
+    return to_digits(line_fit(x, y, w))
 
 
 def decay_linear(x, w: int):

@@ -230,20 +230,20 @@ def incremental_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an exchange's stream messages: a price a line, and a last line that closes the market."""
-    t = ticks(spark, sf_dir).withColumn("runner_id", F.length("event_type").cast("long"))
+    t = ticks(spark, sf_dir).where("price > 0").withColumn("runner_id", F.length("event_type").cast("long"))
     pos = F.row_number().over(Window.partitionBy("market_id").orderBy("ts", "event_id"))
     price = F.to_json(F.struct(F.lit("mcm").alias("op"), F.unix_millis(F.col("ts").cast("timestamp")).alias("pt"), F.array(F.struct(F.array(F.struct(F.col("runner_id").alias("id"), (1 / F.col("price")).alias("ltp"))).alias("rc"))).alias("mc")))
     prices = t.select("market_id", pos.alias("pos"), price.alias("value"))
     won = F.when(F.col("market_id") % 2 == 0, F.lit("4")).otherwise(F.lit("5"))
     one = lambda i: F.struct(F.lit(i).cast("long").alias("id"), F.lit(f"r{i}").alias("name"), F.when(F.lit(str(i)) == won, "WINNER").otherwise("LOSER").alias("status"))
     definition = F.struct(F.lit("CLOSED").alias("status"), F.date_format("end", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("marketTime"), F.array(one(4), one(5), one(6)).alias("runners"))
-    last = t.groupBy("market_id").agg(F.max("ts").alias("end"), (F.count(F.lit(1)) + 1).cast("int").alias("pos"))
+    last = ticks(spark, sf_dir).groupBy("market_id").agg(F.max("ts").alias("end"), (F.count(F.lit(1)) + 1).cast("int").alias("pos"))
     closing = last.select("market_id", "pos", F.to_json(F.struct(F.lit("mcm").alias("op"), F.unix_millis(F.col("end").cast("timestamp")).alias("pt"), F.array(F.struct(definition.alias("marketDefinition"))).alias("mc"))).alias("value"))
     return prices.unionByName(closing)
 
 
 @query(with_([*BASE,
-    "lt AS (SELECT market_id, length(event_type) AS rid, epoch_ms(ts) AS pt, 1 / price AS ltp, row_number() OVER (PARTITION BY market_id ORDER BY ts, event_id) AS pos FROM ticks)",
+    "lt AS (SELECT market_id, length(event_type) AS rid, epoch_ms(ts) AS pt, 1 / price AS ltp, row_number() OVER (PARTITION BY market_id ORDER BY ts, event_id) AS pos FROM ticks WHERE price > 0)",
     f"lc AS (SELECT market_id, epoch_ms(\"end\") - d::BIGINT * 86400000 AS cut, d AS days_before FROM markets, (SELECT unnest({list(DAYS)}) AS d))",
     "la AS (SELECT market_id, days_before, rid, arg_max(ltp, pos) AS odds FROM lt JOIN lc USING (market_id) WHERE pt <= cut AND rid IN (4, 5, 6) GROUP BY 1, 2, 3)"],
     "SELECT market_id, days_before, 'r' || rid AS runner, (rid = CASE WHEN market_id % 2 = 0 THEN 4 ELSE 5 END)::INT AS won, round(odds, 6) AS odds FROM la WHERE odds > 1"))

@@ -236,7 +236,7 @@ def calibration(rows: DataFrame, *by: str, count: str = "contracts") -> DataFram
 
 def exchange_calibration(rows: DataFrame, cfg: MarketConfig = MARKETS) -> DataFrame:
     """The same for runners backed at their odds, after commission."""
-    priced = rows.withColumns({"price": 1 / F.col("odds"), "won": F.col("won").cast("double"), "ret": F.when(F.col("won") == 1, (F.col("odds") - 1) * (1 - cfg.commission)).otherwise(-1.0)})
+    priced = rows.withColumns({"price": F.try_divide(F.lit(1.0), F.col("odds")), "won": F.col("won").cast("double"), "ret": F.when(F.col("won") == 1, (F.col("odds") - 1) * (1 - cfg.commission)).otherwise(-1.0)})
     return calibration(priced.withColumn("bucket", bucket(F.col("price"))), count="runners")
 
 

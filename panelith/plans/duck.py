@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelith.functions.expr import ROW, XS, Node
-from panelith.plans.stages import plan
+from panelith.plans.stages import SPREAD, plan
 
 
 def scalar(node: Node) -> str:
@@ -42,10 +42,10 @@ def scalar(node: Node) -> str:
             return f"(CASE WHEN {a[1]} IS NOT NULL THEN {a[0]} END)"
         case "above":
             return f"(CASE WHEN {a[0]} > {p[0]!r} THEN {a[1]} END)"
-        case "known_count":
-            return "(" + " + ".join(f"({x} IS NOT NULL)::INT" for x in a) + ")"
-        case "zero_if_null":
-            return f"coalesce({a[0]}, 0)"
+        case "known_mean":
+            return f"list_avg([{', '.join(a)}])"
+        case "digits":
+            return f"round({a[0]}, {p[0]})"
     raise ValueError(node.op)
 
 
@@ -67,6 +67,12 @@ def trailing(node: Node) -> str:
         below = " + ".join(f"coalesce(({y} < {x})::INT, 0)" for y in earlier)
         equal = " + ".join(f"coalesce(({y} = {x})::INT, 0)" for y in earlier)
         return f"CASE WHEN {n} >= {p[1]} AND {x} IS NOT NULL THEN (({below}) + (({equal}) + 2) / 2.0) / ({n}) END"
+    if node.op in ("cov", "corr"):
+        y = scalar(node.args[1])
+        if node.op == "cov":
+            return f"CASE WHEN {n} >= {p[1]} THEN covar_pop({x}, {y}) {w} END"
+        spread = f"(stddev_pop({x}) {w} * stddev_pop({y}) {w})"
+        return f"CASE WHEN {n} >= {p[1]} AND {spread} > {SPREAD} THEN greatest(-1, least(1, covar_pop({x}, {y}) {w} / {spread})) END"
     make = {"mean": "avg", "sum": "sum", "std": "stddev_samp", "max": "max", "min": "min", "skew": "skewness", "kurt": "kurtosis"}[node.op]
     out = f"{make}({x}) {w}"
     if node.op in ("skew", "kurt"):

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from panelith.functions.expr import ROW, TS, XS, Node
 
 ENTITY, DATE, ORDER, UNIVERSE = "ticker", "date", "t", "universe"
+#: Product of two standard deviations up to which no correlation is told.
+SPREAD = 1e-12
 
 
 def history() -> WindowSpec:
@@ -113,10 +115,11 @@ def scalar(node: Node) -> Column:
             return F.when(a[1].isNotNull(), a[0])
         case "above":
             return F.when(a[0] > node.params[0], a[1])
-        case "known_count":
-            return sum((x.isNotNull().cast("double") for x in a[1:]), a[0].isNotNull().cast("double"))
-        case "zero_if_null":
-            return F.coalesce(a[0], F.lit(0.0))
+        case "known_mean":
+            known = F.array_compact(F.array(*a))
+            return F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))
+        case "digits":
+            return F.round(a[0], node.params[0])
     raise ValueError(node.op)
 
 
@@ -163,6 +166,12 @@ def trailing(node: Node) -> Column:
             below = F.size(F.filter(held, lambda v: v < x))
             equal = F.size(F.filter(held, lambda v: v == x))
             return F.when((n >= node.params[1]) & x.isNotNull(), (below + (equal + 1) / 2) / n)
+        case "cov":
+            out = F.covar_pop(x, scalar(node.args[1])).over(w)
+        case "corr":
+            y = scalar(node.args[1])
+            spread = F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w)
+            out = F.when(spread > SPREAD, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.covar_pop(x, y).over(w) / spread)))
         case "skew":
             flat = F.max(x).over(w) == F.min(x).over(w)
             out = F.when(flat, 0.0).otherwise(F.skewness(x).over(w) * F.sqrt(n * (n - 1)) / (n - 2))
