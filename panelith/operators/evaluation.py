@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,28 +173,55 @@ def deflated_sharpe(series: DataFrame, value: str, trial_sharpes: list[float]) -
     mean = sum(daily) / max(1, len(daily))
     spread = math.sqrt(sum((x - mean) ** 2 for x in daily) / (len(daily) - 1)) if len(daily) > 1 else 0.0
     bar = spread * ((1 - EULER) * normal.inv_cdf(1 - 1 / n) + EULER * normal.inv_cdf(1 - 1 / (n * math.e)))
-    sums = series.where(F.col(value).isNotNull()).agg(F.count(value).alias("days"), (F.avg(value) / F.stddev_samp(value)).alias("sr"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurt"))
-    row = sums.first()
-    z = (row["sr"] - bar) * math.sqrt(row["days"] - 1) / math.sqrt(1 - row["skew"] * row["sr"] + (row["kurt"] - 1) / 4 * row["sr"] ** 2)
-    return sums.select("days", F.col("sr").alias("sharpe_day"), F.lit(normal.cdf(z)).alias("dsr"))
+    row = series.where(F.col(value).isNotNull()).agg(F.count(value).alias("days"), F.try_divide(F.avg(value), F.stddev_samp(value)).alias("sr"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurt")).first()
+    dsr = None
+    if row["sr"] is not None and row["skew"] is not None:
+        under = 1 - row["skew"] * row["sr"] + (row["kurt"] - 1) / 4 * row["sr"] ** 2
+        dsr = normal.cdf((row["sr"] - bar) * math.sqrt(row["days"] - 1) / math.sqrt(under)) if under > 0 else None
+    return series.sparkSession.createDataFrame([(row["days"], row["sr"], dsr)], "days long, sharpe_day double, dsr double")
+
+
+def correlations(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """The correlation matrix of columns over all rows, unknown values as 0; NaN where a column doesn't vary.
+
+    Each partition makes one matrix of products, and these add up to one of as many cells as there are pairs of names.
+    """
+    held = rows.select(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names])
+    k = len(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Sums about 0 serve: ranks are centred. A leading 1 gives counts and sums in the same product.
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            x = np.column_stack((np.ones(len(batch)), batch.to_numpy(np.float64)))
+            total += x.T @ x
+        i, j = np.triu_indices(k + 1)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    sums = held.mapInPandas(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    whole = np.zeros((k + 1, k + 1))
+    whole[sums["i"], sums["j"]] = whole[sums["j"], sums["i"]] = sums["v"]
+    n, means = max(whole[0, 0], 1.0), whole[0, 1:] / max(whole[0, 0], 1.0)
+    cov = whole[1:, 1:] / n - np.outer(means, means)
+    spread = np.sqrt(np.diag(cov))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(np.outer(spread, spread) > 1e-15, cov / np.outer(spread, spread), np.nan)
 
 
 def greedy_distinct(features: DataFrame, candidates: list[str], most: float) -> list[str]:
     """Candidates from the strongest on, each kept if its correlation with all kept so far is below ``most``.
 
-    ``features`` is ``date, ticker, <one column a candidate>``; unknown values count as 0. One aggregate makes all
-    correlations; the walk over at most a few hundred names is the driver's.
+    ``features`` is ``date, ticker, <one column a candidate>``; unknown values count as 0, and a column that doesn't vary is
+    like any other. The walk over at most a few hundred names is the driver's.
     """
     if not candidates:
         return []
-    filled = features.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in candidates])
-    pairs = [(a, b) for i, b in enumerate(candidates) for a in candidates[:i]]
-    row = filled.agg(F.lit(0.0).alias("none"), *[correlation(a, b).alias(f"{a}~{b}") for a, b in pairs]).first()
-    kept: list[str] = []
-    for name in candidates:
-        if all(row[f"{k}~{name}"] is not None and abs(row[f"{k}~{name}"]) < most for k in kept):
-            kept.append(name)
-    return kept
+    table = np.abs(correlations(features, candidates))
+    kept: list[int] = []
+    for i in range(len(candidates)):
+        if all(table[k, i] < most for k in kept):
+            kept.append(i)
+    return [candidates[i] for i in kept]
 
 
 def select(ic: DataFrame, features: DataFrame | Callable[[list[str]], DataFrame], threshold: float, lags: int, most: float, stride: int = 10) -> DataFrame:

@@ -2,48 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelith.operators import boosting
 from panelith.operators import evaluation as ev
 from panelith.operators.portfolio import vote
 
-#: The reference's rounds and rate; depth 5 gives up to 32 leaves for its 31. The boosting of Spark ML runs a job a level.
-TREES = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.7, "seed": 7}
-
-
-def _checkpointed(df: DataFrame) -> None:
-    """Boosting cuts its lineage every few rounds only where there is a checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/panelith")
-
-
-def _filled(df: DataFrame, names: list[str]) -> DataFrame:
-    """Unknown ranks as the centre."""
-    return df.fillna(0.0, subset=names)
-
 
 def regression(train: DataFrame, test: DataFrame, names: list[str], label: str, out: str, trees: dict | None = None) -> DataFrame:
-    """``test`` with the prediction of trees boosted on ``train``, as column ``out``; ``trees`` replaces settings of ``TREES``."""
-    _checkpointed(train)
-    assembler = VectorAssembler(inputCols=names, outputCol="__x")
-    boosted = GBTRegressor(featuresCol="__x", labelCol=label, predictionCol=out, minInstancesPerNode=20, **{**TREES, **(trees or {})})
-    model = Pipeline(stages=[assembler, boosted]).fit(_filled(train.where(F.col(label).isNotNull()), names))
-    return model.transform(_filled(test, names)).drop("__x")
+    """``test`` with the prediction of trees boosted on ``train``, as column ``out``; ``trees`` replaces fields of ``boosting.Settings``."""
+    return boosting.predicted(test, boosting.fit(train, names, label, boosting.settings_of(trees)), names, out)
 
 
 def walk_forward(rows: DataFrame, ic: DataFrame, names: list[str], first_year: int, last_year: int, embargo: int, threshold: float, lags: int, most: float, stride: int = 2, trees: dict | None = None) -> DataFrame:
     """``date, ticker, target, simple, trees_selected, trees_all`` for every row of the test years.
 
     For each year: dates before it less the embargo select the signals and train on every ``stride``-th date. The
-    loop is over years; each step is distributed.
+    loop is over years; each step is distributed, and features are computed once for all.
     """
+    rows, ic = rows.persist(), ic.persist()
     dates = rows.select("date").distinct()
     out = None
     for year in range(first_year, last_year + 1):
@@ -53,29 +31,25 @@ def walk_forward(rows: DataFrame, ic: DataFrame, names: list[str], first_year: i
         kept = {r["signal"]: r["sign"] for r in table} or {n: 1.0 for n in names[:1]}
         train = rows.join(ev.every(train_days, stride), "date", "left_semi")
         test = rows.join(test_days, "date", "left_semi")
-        simple = vote(test, kept).withColumnRenamed("score", "simple")
-        keys = ["date", "ticker"]
-        one = regression(train, test, list(kept), "y_rank", "trees_selected", trees).select(*keys, "target", "trees_selected")
-        two = regression(train, test, names, "y_rank", "trees_all", trees).select(*keys, "trees_all")
-        year_rows = one.join(two, keys).join(simple, keys).select(*keys, "target", "simple", "trees_selected", "trees_all")
+        voted = vote(test, kept).select("date", "ticker", F.col("score").alias("simple"))
+        scored = regression(train, regression(train, test, list(kept), "y_rank", "trees_selected", trees), names, "y_rank", "trees_all", trees)
+        year_rows = scored.join(voted, ["date", "ticker"]).select("date", "ticker", "target", "simple", "trees_selected", "trees_all")
         out = year_rows if out is None else out.unionByName(year_rows)
     return out
 
 
+def winners(rows: DataFrame, names: list[str], split: str, horizon: int, trees: dict | None = None) -> boosting.Boosted:
+    """A classifier of ``win``, trained on dates whose labels end before the split."""
+    train = rows.where(F.col("date") < F.date_sub(F.lit(split).cast("date"), int(horizon * 1.5))).withColumn("y", F.col("win").cast("double"))
+    return boosting.fit(train, names, "y", boosting.settings_of(trees, binary=True))
+
+
 def winner_importance(rows: DataFrame, names: list[str], split: str, horizon: int, trees: dict | None = None) -> DataFrame:
-    """``signal, importance``: what a boosted classifier of winners uses, trained on dates whose labels end before the split."""
-    _checkpointed(rows)
-    train = _filled(rows.where(F.col("date") < F.date_sub(F.lit(split).cast("date"), int(horizon * 1.5))), names).withColumn("y", F.col("win").cast("double"))
-    assembler = VectorAssembler(inputCols=names, outputCol="__x")
-    model = Pipeline(stages=[assembler, GBTClassifier(featuresCol="__x", labelCol="y", minInstancesPerNode=20, **{**TREES, **(trees or {})})]).fit(train)
-    gains = model.stages[-1].featureImportances.toArray().tolist()
-    total = sum(gains) or 1.0
-    return rows.sparkSession.createDataFrame([(n, g / total) for n, g in zip(names, gains, strict=True)], "signal string, importance double")
+    """``signal, importance``: each signal's share of the gains of the classifier of winners."""
+    shares = winners(rows, names, split, horizon, trees).importance().tolist()
+    return rows.sparkSession.createDataFrame(list(zip(names, shares, strict=True)), "signal string, importance double")
 
 
 def winner_probability(train: DataFrame, test: DataFrame, names: list[str], label: str, trees: dict | None = None) -> DataFrame:
     """``test`` with ``p``, the classifier's probability of the label."""
-    _checkpointed(train)
-    assembler = VectorAssembler(inputCols=names, outputCol="__x")
-    model = Pipeline(stages=[assembler, GBTClassifier(featuresCol="__x", labelCol=label, minInstancesPerNode=20, **{**TREES, **(trees or {})})]).fit(_filled(train, names))
-    return model.transform(_filled(test, names)).withColumn("p", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+    return boosting.predicted(test, boosting.fit(train, names, label, boosting.settings_of(trees, binary=True)), names, "p")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
 import pytest
 
 from panelith import panel_queries as q
 from panelith import queries as core
 from panelith.functions import signals
 from panelith.operators import evaluation as ev
-from panelith.operators import models
+from panelith.operators import boosting, models
 
 
 def test_every_signal_is_tested(spark, small):
@@ -25,10 +26,25 @@ def test_scoring_in_a_larger_catalogue_changes_no_signal(spark, small):
 
 
 def test_trees_are_the_references_size_unless_asked(spark):
-    assert {k: models.TREES[k] for k in ("maxIter", "maxDepth", "stepSize")} == {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05}
-    train = spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(200)], "x double, y double")
-    distinct = {n: models.regression(train, train, ["x"], "y", "p", {"maxIter": n, "maxDepth": 1}).where("x = 6").first()["p"] for n in (1, 12)}
-    assert all(p == pytest.approx(1, abs=0.2) for p in distinct.values())
+    whole = boosting.Settings()
+    assert (whole.rounds, whole.leaves, whole.rate, whole.l2) == (300, 31, 0.05, 10.0)
+    train = spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(400)] + [(1.0, None), (None, 0.0)], "x double, y double")
+    got = {n: models.regression(train, train, ["x"], "y", "p", {"rounds": n, "leaves": 2}).where("x = 6").first()["p"] for n in (1, 300)}
+    assert abs(got[300] - 1) < 0.02 < abs(got[1] - 1)
+    sure = models.winner_probability(train, train, ["x"], "y").where("x = 6 or x = 0").groupBy("x").agg({"p": "max"}).collect()
+    assert {r[0]: round(r[1]) for r in sure} == {6.0: 1, 0.0: 0}
+
+
+def test_trees_learn_what_no_single_feature_tells():
+    r = np.random.default_rng(1)
+    x = r.uniform(-0.5, 0.5, (6000, 4)).astype(np.float32)
+    y = np.sign(x[:, 0] * x[:, 1]) * 0.3 + 0.2 * x[:, 2] + r.normal(0, 0.05, 6000)
+    model = boosting.fitted(x[:5000], y[:5000], boosting.Settings(rounds=80))
+    left = y[5000:] - model.predict(x[5000:])
+    assert left.var() < 0.15 * y[5000:].var() and model.importance()[3] < 0.05 and all(t.feature.count(-1) <= 31 for t in model.trees)
+    assert boosting.fitted(x[:0], y[:0], boosting.Settings(rounds=3)).predict(x[:2]).tolist() == [0, 0]
+    flat = boosting.fitted(np.zeros((100, 2), np.float32), np.arange(100.0), boosting.Settings(rounds=3))
+    assert flat.predict(x[:1, :2])[0] == pytest.approx(49.5, abs=5)
 
 
 def test_deflation_uses_the_trials_of_the_data(spark):
