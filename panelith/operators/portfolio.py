@@ -19,9 +19,10 @@ def vote(features: DataFrame, signs: dict[str, float]) -> DataFrame:
     return features.select("date", "ticker", F.try_divide(total, count.cast("double")).alias("score"))
 
 
-def smoothed(scores: DataFrame, halflife: float) -> DataFrame:
+def smoothed(scores: DataFrame, halflife: float | str, by: tuple[str, ...] = ()) -> DataFrame:
     """``score`` smoothed along each ticker's known values; unknown stays unknown. A half-life of 0 changes nothing.
 
+    The half-life is a number, or the name of a column that tells it for each series; ``by`` keys the series beside the ticker.
     A ticker's history is as long as the calendar, which bounds the group.
     """
     if not halflife:
@@ -29,42 +30,44 @@ def smoothed(scores: DataFrame, halflife: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        mean = pdf["score"].astype("float64").ewm(halflife=halflife, ignore_na=True).mean()
-        pdf["score"] = mean.where(pdf["score"].notna())
+        span = float(pdf[halflife].iloc[0]) if isinstance(halflife, str) else halflife
+        if span:
+            mean = pdf["score"].astype("float64").ewm(halflife=span, ignore_na=True).mean()
+            pdf["score"] = mean.where(pdf["score"].notna())
         return pdf
 
-    return scores.groupBy("ticker").applyInPandas(run, T.StructType(scores.schema.fields))
+    return scores.groupBy(*by, "ticker").applyInPandas(run, T.StructType(scores.schema.fields))
 
 
-def banded_weights(scores: DataFrame, enter: float, leave: float) -> DataFrame:
+def banded_weights(scores: DataFrame, enter: float, leave: float, by: tuple[str, ...] = ()) -> DataFrame:
     """``weight`` with hysteresis: a name enters a side at the share ``enter`` and stays until it is beyond ``leave``.
 
     A name's state depends on itself alone: it is set where it enters, cleared where it cannot stay, and else the last of these.
     """
-    own = Window.partitionBy("ticker").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    pct = scores.withColumn("pct", average_rank(F.col("score"), "date") / F.count("score").over(Window.partitionBy("date")))
+    own = Window.partitionBy(*by, "ticker").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    day = Window.partitionBy(*by, "date")
+    pct = scores.withColumn("pct", average_rank(F.col("score"), *by, "date") / F.count("score").over(day))
     p = F.col("pct")
     into_long, stay_long = F.coalesce(p > 1 - enter, F.lit(False)), F.coalesce(p > 1 - leave, F.lit(False))
     into_short, stay_short = F.coalesce(p <= enter, F.lit(False)), F.coalesce(p <= leave, F.lit(False))
     event = lambda into, stay: F.when(into, 1).when(~stay, 0)
     held = pct.withColumns({"long": event(into_long, stay_long), "short": event(into_short, stay_short)})
     held = held.withColumns({side: F.coalesce(F.last(side, ignorenulls=True).over(own), F.lit(0)) for side in ("long", "short")})
-    day = Window.partitionBy("date")
     side = lambda c: F.when(F.sum(c).over(day) > 0, F.col(c) / F.sum(c).over(day)).otherwise(0.0)
     return held.withColumn("weight", side("long") - side("short"))
 
 
-def portfolio(scores: DataFrame, q: float, halflife: float = 0, leave: float | None = None) -> DataFrame:
-    """Daily ``ls_gross, ls_to, long_gross, long_to, bench_ew`` of scores on a dense grid (``date, t, ticker, score, target``).
+def portfolio(scores: DataFrame, q: float, halflife: float | str = 0, leave: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per ``by`` and date ``ls_gross, ls_to, long_gross, long_to, bench_ew`` of scores on a dense grid (``date, t, ticker, score, target``).
 
     An unknown target earns 0 where a weight is held; the benchmark is the mean target of names with a score.
     """
-    s = smoothed(scores, halflife)
-    weighted = banded_weights(s, q, leave) if leave else quantile_weights(s, q, "date")
+    s = smoothed(scores, halflife, by)
+    weighted = banded_weights(s, q, leave, by) if leave else quantile_weights(s, q, *by, "date")
     held = weighted.withColumn("long_weight", F.greatest("weight", F.lit(0.0)))
-    traded = held.withColumns({"trade": trades("weight"), "long_trade": trades("long_weight")})
+    traded = held.withColumns({"trade": trades("weight", *by), "long_trade": trades("long_weight", *by)})
     y = F.coalesce("target", F.lit(0.0))
-    return traded.groupBy("date").agg(
+    return traded.groupBy(*by, "date").agg(
         F.sum(F.col("weight") * y).alias("ls_gross"),
         F.sum("trade").alias("ls_to"),
         F.sum(F.col("long_weight") * y).alias("long_gross"),
@@ -81,15 +84,19 @@ def net_of_costs(daily: DataFrame, bps: list[float]) -> DataFrame:
     return priced.withColumns({"ls_net": F.col("ls_gross") - F.col("ls_to") * c, "long_net": F.col("long_gross") - F.col("long_to") * c})
 
 
-def config_grid(scores: dict[str, DataFrame], q: float, halflives: list[float], bands: dict[str, float | None]) -> DataFrame:
-    """Daily series of every model, half-life and band, keyed ``config`` as model|hlH|band."""
+def config_grid(scores: DataFrame, q: float, halflives: list[float], bands: dict[str, float | None]) -> DataFrame:
+    """Daily series of every model, half-life and band, keyed ``config`` as model|hlH|band.
+
+    ``scores`` has a row for each ``model`` and cell of the grid. All configurations run in the same few shuffles, as keys.
+    """
+    keys = ("model", "halflife")
+    each = scores.withColumn("halflife", F.explode(F.array(*[F.lit(float(h)) for h in halflives])))
+    smooth = smoothed(each, "halflife", keys)
     out = None
-    for model, frame in scores.items():
-        for h in halflives:
-            for band, leave in bands.items():
-                one = portfolio(frame, q, h, leave).withColumn("config", F.lit(f"{model}|hl{h:g}|{band}"))
-                out = one if out is None else out.unionByName(one)
-    return out
+    for band, leave in bands.items():
+        one = portfolio(smooth, q, 0, leave, keys).withColumn("config", F.format_string(f"%s|hl%s|{band}", "model", F.regexp_replace(F.col("halflife").cast("string"), r"\.0$", "")))
+        out = one if out is None else out.unionByName(one)
+    return out.drop(*keys)
 
 
 def weekly_books(panel: DataFrame, vol: DataFrame, sizes: dict[str, int], least: int, cost_bps: float) -> DataFrame:

@@ -444,6 +444,7 @@ def weekly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIRST, LAST, AHEAD = 1997, 1998, 5
+MODELS = ("simple", "trees_selected", "trees_all")
 
 
 def predictions(spark: SparkSession, sf_dir: str, h: int = 1, trees: dict | None = None) -> DataFrame:
@@ -470,12 +471,12 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def configurations(spark: SparkSession, sf_dir: str, trees: dict | None = None) -> DataFrame:
     """Daily net series of the 36 configurations: three models at two horizons, half-lives and bands."""
     grid = source.panel(spark, sf_dir).where(F.year("date").between(FIRST, LAST)).select("date", "t", "ticker", "target", "o", "c")
-    frames = {}
+    frames = []
     for h in (1, AHEAD):
-        both = grid.join(predictions(spark, sf_dir, h, trees).drop("target"), ["date", "ticker"], "left").persist()
-        for m in ("simple", "trees_selected", "trees_all"):
-            frames[m if h == 1 else f"h{h}_{m}"] = both.withColumn("score", F.col(m)).select(*grid.columns, "score")
-    daily = pf.config_grid(frames, 0.2, [0, 3, 10], {"noband": None, "band40": 0.4})
+        both = grid.join(predictions(spark, sf_dir, h, trees).drop("target"), ["date", "ticker"], "left")
+        named = both.withColumnsRenamed({m: f"h{h}_{m}" for m in MODELS} if h > 1 else {})
+        frames.append(named.unpivot(grid.columns, [c for c in named.columns if c not in grid.columns], "model", "score"))
+    daily = pf.config_grid(frames[0].unionByName(frames[1]).persist(), 0.2, [0, 3, 10], {"noband": None, "band40": 0.4})
     return daily.withColumn("net", F.col("ls_gross") - F.col("ls_to") * COST / 1e4).select("config", "date", "net", "ls_to").persist()
 
 
