@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Edges of the price buckets: closed on the right, the lowest included. Fixed values.
 EDGES = (0.0, 0.05, 0.10, 0.20, 0.35, 0.50, 0.65, 0.80, 0.90, 0.95, 1.0)
@@ -15,7 +14,7 @@ DAY_S = 86_400
 
 @dataclass(frozen=True)
 class MarketConfig:
-    """Every tunable number: fees, eligibility, stakes."""
+    """Every tunable number, by what uses it; defaults are fixed values, which results depend on."""
 
     fee_rates: dict = field(default_factory=lambda: {"politics": 0.04, "sports": 0.05, "crypto": 0.07, "geopolitics": 0.0})
     default_fee_rate: float = 0.05
@@ -121,11 +120,17 @@ def parse_runner_forecast(text: Column, names: Column) -> Column:
     return F.map_from_entries(F.transform(chosen, lambda w: F.struct(w["name"], w["p"] / total)))
 
 
-def prompt(question: Column, rules: Column, end: Column, now: Column) -> Column:
-    """The question as it is put to a forecaster: without any price."""
-    stamp = "yyyy-MM-dd HH:mm 'UTC'"
-    given = F.when(F.trim(rules) == "", "(no additional rules given)").otherwise(F.trim(rules))
-    return F.concat_ws("\n\n", F.concat(F.lit("Today is "), F.date_format(now, stamp), F.lit(".")), F.concat(F.lit("Question: "), question), F.concat(F.lit("Market closes: "), F.coalesce(F.date_format(end, stamp), F.lit("unknown"))), F.concat(F.lit("Resolution rules:\n"), given))
+def prompt(question: Column, rules: Column, end: Column, now: Column, outcomes: Column | None = None) -> Column:
+    """The question as it is put to a forecaster: the date, the question, its possible outcomes if given, when it is settled and by which rules; never a price."""
+    stamp = "d MMMM yyyy, HH:mm"
+    lines = [
+        F.format_string("It is now %s (UTC).", F.date_format(now, stamp)),
+        F.format_string("To be forecast: %s", question),
+        F.when(F.size(outcomes) > 0, F.format_string("It will end as one of: %s.", F.array_join(outcomes, "; "))) if outcomes is not None else F.lit(None).cast("string"),
+        F.format_string("It is decided on %s.", F.coalesce(F.date_format(end, stamp), F.lit("a date not known"))),
+        F.when(F.trim(rules) != "", F.concat(F.lit("It is decided by these rules:\n"), F.trim(rules))).otherwise("No rules are given beyond the question."),
+    ]
+    return F.concat_ws("\n", *lines)
 
 
 # --- eligibility ------------------------------------------------------------
@@ -178,10 +183,13 @@ def replay(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_stream_files(spark, folder: str) -> DataFrame:
-    """Lines of all stream files below a folder, those that end in .bz2 or start with ``1.``, with their market and place."""
-    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    wanted = files.where(F.col("file").endswith(".bz2") | F.col("file").startswith("1."))
-    return wanted.select(F.regexp_replace("file", r"\.bz2.*$", "").alias("market_id"), F.posexplode(F.split("value", "\n")).alias("pos", "value")).where("trim(value) <> ''")
+    """Lines of all stream files below a folder, those that end in .bz2 or start with ``1.``, with their market and place.
+
+    A line's place is the file's block and the line's number in the rows that Spark reads of it, in order; no file is held whole.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select("value", F.col("_metadata.file_name").alias("file"), (F.col("_metadata.file_block_start")).alias("block"), F.monotonically_increasing_id().alias("row"))
+    wanted = lines.where((F.col("file").endswith(".bz2") | F.col("file").startswith("1.")) & (F.trim("value") != ""))
+    return wanted.select(F.regexp_replace("file", r"\.bz2.*$", "").alias("market_id"), F.struct("block", "row").alias("pos"), "value")
 
 
 def stream_snapshots(final: DataFrame, prices: DataFrame, days: tuple[int, ...] = MARKETS.snapshot_days) -> DataFrame:
@@ -240,15 +248,29 @@ def exchange_calibration(rows: DataFrame, cfg: MarketConfig = MARKETS) -> DataFr
     return calibration(priced.withColumn("bucket", bucket(F.col("price"))), count="runners")
 
 
+def end_at(rows: DataFrame, place: int) -> object:
+    """The ``end`` at a place (from 0) in order of end: sorted ranges tell which of them holds it, and only that one is numbered."""
+    ends = rows.groupBy("end").agg(F.count(F.lit(1)).alias("n"))
+    ranged = ends.repartitionByRange(F.col("end")).withColumn("part", F.spark_partition_id()).persist()
+    try:
+        for row in sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+            if place < row["n"]:
+                upto = F.sum("n").over(Window.orderBy("end").rowsBetween(Window.unboundedPreceding, 0))
+                return ranged.where(F.col("part") == row["part"]).withColumn("upto", upto).where(F.col("upto") > place).agg(F.min("end")).first()[0]
+            place -= row["n"]
+        return None
+    finally:
+        ranged.unpersist()
+
+
 def strategy_test(snaps: DataFrame, low: float, high: float, days_before: int, share: float = 0.5, cfg: MarketConfig = MARKETS) -> DataFrame:
     """Buying every contract priced in [low, high]: bets and returns of markets that end before the cut and of the others.
 
     The cut is the end of the market at place ``int(n * share)`` in order of end. Without rows there are no halves.
     """
     rows = snaps.where(F.col("days_before") == days_before)
-    order = Window.orderBy("end")
-    cut = rows.select("end", (F.row_number().over(order) - 1).alias("k"), F.count(F.lit(1)).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n")).where(F.col("k") == F.floor(F.col("n") * share)).select(F.col("end").alias("cut"))
-    halves = rows.join(cut, how="cross").withColumn("half", F.when(F.col("end") < F.col("cut"), "first half").otherwise("second half"))
+    cut = end_at(rows, int(rows.count() * share))
+    halves = rows.withColumn("half", F.when(F.col("end") < F.lit(cut), "first half").otherwise("second half"))
     took = contracts(halves, cfg).where(F.col("price").between(low, high))
     return took.groupBy("half").agg(F.count(F.lit(1)).alias("bets"), F.avg("won").alias("win_rate"), F.avg("ret").alias("mean_return"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1)))).alias("se"), (F.avg("ret") / days_before).alias("return_per_day"))
 
@@ -279,13 +301,20 @@ def decide(quotes: DataFrame, cfg: MarketConfig = MARKETS) -> DataFrame:
 def capped(wants: DataFrame, order: list[str], open_stake: float = 0.0, cfg: MarketConfig = MARKETS, want: str = "want", stake: str = "stake") -> DataFrame:
     """``stake``: wants granted in order until all open stakes reach their cap.
 
-    As no want is negative, what is open after i wants is max(E0, min(cap, E0 + their sum)); a stake is the difference.
+    As no want is negative, what is open after i wants is max(E0, min(cap, E0 + their sum)); a stake is the difference. Sums
+    run within ranges of the order, on top of the ranges before, so no task sees all rows.
     """
-    cap = cfg.max_open_share * cfg.bankroll
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    after = F.greatest(F.lit(float(open_stake)), F.least(F.lit(cap), open_stake + F.sum(want).over(upto)))
-    before = F.greatest(F.lit(float(open_stake)), F.least(F.lit(cap), open_stake + F.sum(want).over(upto) - F.col(want)))
-    return wants.withColumn(stake, after - before)
+    cap, part, before_ = cfg.max_open_share * cfg.bankroll, "range_part", "range_before"
+    ranged = wants.repartitionByRange(*[F.col(c) for c in order]).withColumn(part, F.spark_partition_id()).persist()
+    sums, at = [], 0.0
+    for row in sorted(ranged.groupBy(part).agg(F.sum(want).alias("n")).collect()):
+        sums.append((row[part], at))
+        at += row["n"] or 0.0
+    # One row a range.
+    placed = ranged.join(F.broadcast(wants.sparkSession.createDataFrame(sums, f"{part} int, {before_} double")), part)
+    upto = F.sum(want).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.col(before_)
+    open_ = lambda x: F.greatest(F.lit(float(open_stake)), F.least(F.lit(cap), open_stake + x))
+    return placed.withColumn(stake, open_(upto) - open_(upto - F.col(want))).drop(part, before_)
 
 
 def implied_probabilities(runners: DataFrame) -> DataFrame:
@@ -332,15 +361,15 @@ def settle_binary(ledger: DataFrame, markets: DataFrame, now: Column) -> DataFra
     ``markets`` is ``market_id, closed, resolved_yes``. Rows without a bet settle at 0; other rows stay as they are.
     """
     names = ledger.columns
-    m = markets.select("market_id", F.col("closed").alias("__closed"), F.col("resolved_yes").alias("__yes"))
+    m = markets.select("market_id", F.col("closed").alias("market_closed"), F.col("resolved_yes").alias("market_yes"))
     both = ledger.join(m, "market_id", "left")
     open_ = F.col("status") == "open"
-    settles, voids = open_ & F.col("__yes").isNotNull(), open_ & F.col("__yes").isNull() & F.coalesce("__closed", F.lit(False))
-    won = (F.col("side") == "YES") == F.col("__yes")
+    settles, voids = open_ & F.col("market_yes").isNotNull(), open_ & F.col("market_yes").isNull() & F.coalesce("market_closed", F.lit(False))
+    won = (F.col("side") == "YES") == F.col("market_yes")
     profit = F.when(F.col("side").isNotNull(), F.col("shares") * won.cast("double") - F.col("stake")).otherwise(0.0)
     out = both.withColumns(
         {
-            "yes_won": F.when(settles, F.col("__yes").cast("int")).otherwise(F.col("yes_won")),
+            "yes_won": F.when(settles, F.col("market_yes").cast("int")).otherwise(F.col("yes_won")),
             "pnl": F.when(settles, profit).when(voids, 0.0).otherwise(F.col("pnl")),
             "settled_at": F.when(settles | voids, now).otherwise(F.col("settled_at")),
             "status": F.when(settles, "settled").when(voids, "void").otherwise(F.col("status")),
@@ -386,6 +415,6 @@ def score_runners(rows: DataFrame) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("settled"), F.avg("b_model").alias("brier_model"), F.avg("b_market").alias("brier_market"), F.avg("l_model").alias("logscore_model"), F.avg("l_market").alias("logscore_market"))
 
 
-LEDGER = T.StructType(
-    [T.StructField(n, k) for n, k in (("market_id", T.StringType()), ("q", T.DoubleType()), ("mid", T.DoubleType()), ("side", T.StringType()), ("stake", T.DoubleType()), ("shares", T.DoubleType()), ("status", T.StringType()), ("yes_won", T.IntegerType()), ("pnl", T.DoubleType()), ("settled_at", T.TimestampType()))]
-)
+
+#: A row of the ledger of binary markets.
+LEDGER = "market_id string, q double, mid double, side string, stake double, shares double, status string, yes_won int, pnl double, settled_at timestamp"

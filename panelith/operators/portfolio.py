@@ -76,6 +76,12 @@ def portfolio(scores: DataFrame, q: float, halflife: float | str = 0, leave: flo
     )
 
 
+def with_benchmark(daily: DataFrame, prices: DataFrame) -> DataFrame:
+    """``daily`` with ``benchmark``: the return of one name's closes (``date, t, c``), 0 on dates without one."""
+    r = prices.select("date", (F.try_divide(F.col("c"), F.lag("c", 1).over(Window.orderBy("t"))) - 1).alias("benchmark"))
+    return daily.join(r, "date", "left").fillna(0.0, subset=["benchmark"])
+
+
 def net_of_costs(daily: DataFrame, bps: list[float]) -> DataFrame:
     """One row a date and cost: ``cost_bps, ls_net, long_net`` beside the gross series."""
     costs = F.explode(F.array(*[F.lit(float(b)) for b in bps]))

@@ -14,6 +14,7 @@ from panelith.plans import duck
 from panelith.plans.stages import average_rank, evaluate
 from panelith.queries import PANEL_SQL, query, rounded, tidy, with_
 from panelith.sources import panel as source
+from panelith.sources import store
 
 #: The signals that the queries on evaluation run over, and what suits a panel of twenty names.
 NAMES = ("ret_5", "vol_21", "dv_shock_21", "clv_5", "dist_high_21", "pv_corr_10")
@@ -156,15 +157,29 @@ def summarize_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ev.summary(stats(spark, sf_dir), COST, LAGS))
 
 
-@query(with_([*STATS, *nw_sql("stats", "ic", "signal")], f"SELECT signal, round(t, 6) + 0.0 AS t, round(mean, 6) + 0.0 AS ic, sign(mean)::DOUBLE AS sign, coalesce(abs(t) > {THRESHOLD}, false) AS passed FROM (SELECT DISTINCT signal FROM stats) LEFT JOIN nw USING (signal)"))
+MOST = 0.8
+#: The greedy walk: signals beyond the threshold by strength, each kept unless it correlates with one kept before.
+CHOSEN = [
+    *STATS, *nw_sql("stats", "ic", "signal"),
+    *FEATURES[len(WIDE):],
+    "tenth AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n FROM (SELECT DISTINCT date FROM stats)) WHERE n % 10 = 0)",
+    "sampled AS (SELECT f.* FROM features f SEMI JOIN tenth USING (date))",
+    "pairs AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr(coalesce({a}, 0), coalesce({b}, 0)) AS r FROM sampled" for a in NAMES for b in NAMES if a != b) + ")",
+    f"alike AS (SELECT a AS signal, list(b) FILTER (WHERE r IS NULL OR isnan(r) OR abs(r) >= {MOST}) AS near FROM pairs GROUP BY a)",
+    f"strongest AS (SELECT signal, near, row_number() OVER (ORDER BY abs(t) DESC, signal) AS k FROM nw JOIN alike USING (signal) WHERE abs(t) > {THRESHOLD})",
+    "walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS kept UNION ALL SELECT s.k, CASE WHEN len(list_intersect(kept, coalesce(near, []))) = 0 THEN list_append(kept, signal) ELSE kept END FROM walk JOIN strongest s ON s.k = walk.k + 1)",
+    "chosen AS (SELECT kept FROM walk ORDER BY k DESC LIMIT 1)",
+]
+
+
+@query(with_(CHOSEN, f"SELECT signal, round(t, 6) + 0.0 AS t, round(mean, 6) + 0.0 AS ic, sign(mean)::DOUBLE AS sign, coalesce(abs(t) > {THRESHOLD}, false) AS passed, list_contains((SELECT kept FROM chosen), signal) AS kept FROM (SELECT DISTINCT signal FROM stats) LEFT JOIN nw USING (signal)").replace("WITH", "WITH RECURSIVE", 1))
 def signal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = ev.select(stats(spark, sf_dir), features(spark, sf_dir).select("date", "ticker", *NAMES), THRESHOLD, LAGS, 0.8)
-    return tidy(table.drop("kept"))
+    return tidy(ev.select(stats(spark, sf_dir), features(spark, sf_dir).select("date", "ticker", *NAMES), THRESHOLD, LAGS, MOST))
 
 
-@query()
+@query(with_(CHOSEN, "SELECT signal, round(t, 6) + 0.0 AS t FROM nw WHERE list_contains((SELECT kept FROM chosen), signal)").replace("WITH", "WITH RECURSIVE", 1))
 def signal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tidy(ev.select(stats(spark, sf_dir), features(spark, sf_dir).select("date", "ticker", *NAMES), THRESHOLD, LAGS, 0.8).where("kept").select("signal", "t"))
+    return tidy(ev.select(stats(spark, sf_dir), features(spark, sf_dir).select("date", "ticker", *NAMES), THRESHOLD, LAGS, MOST).where("kept").select("signal", "t"))
 
 
 @query(with_(FEATURES, "SELECT 'a' AS x, " + ", ".join(f"round(corr(coalesce({a}, 0), coalesce({b}, 0)), 6) AS {a}__{b}" for i, a in enumerate(NAMES) for b in NAMES[:i]) + " FROM features"))
@@ -271,7 +286,12 @@ def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(daily.groupBy(F.year("date").alias("year")).agg(F.sum(net).alias("ls_net"), F.avg("ls_to").alias("turnover"), (F.product(1 + F.col("ls_gross")) - 1).alias("compounded")))
 
 
-@query()
+_SERIES = {"long_short_net": f"ls_gross - ls_to * {COST} / 1e4", "long_short_gross": "ls_gross", "long_only_net": f"long_gross - long_to * {COST} / 1e4", "long_only_excess_vs_ew": f"long_gross - long_to * {COST} / 1e4 - bench_ew", "equal_weight_universe": "bench_ew"}
+
+
+@query(with_([*BANDED, "series5 AS (" + " UNION ALL ".join(f"SELECT date, CASE WHEN year(date) < 1996 THEN 'before' ELSE 'after' END AS period, '{n}' AS series, {x} AS ls FROM daily" for n, x in _SERIES.items()) + ")",
+    "wealth5 AS (SELECT *, exp(sum(ln(1 + ls)) OVER (PARTITION BY period, series ORDER BY date ROWS UNBOUNDED PRECEDING)) AS w FROM series5 WHERE ls IS NOT NULL)",
+    "drawn5 AS (SELECT *, w / max(w) OVER (PARTITION BY period, series ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM wealth5)"], f"SELECT period, series, {_PERF.format(x='ls')} FROM drawn5 GROUP BY period, series"))
 def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five series before and from 1996, as performance tables."""
     daily = pf.net_of_costs(pf.portfolio(scores(spark, sf_dir), 0.2, 5, 0.4), [COST])
@@ -440,6 +460,48 @@ def weekly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(out)
 
 
+# --- scans, storage and the benchmark ----------------------------------------
+
+
+@query("SELECT date_trunc('week', l_shipdate)::DATE AS date, round(sum(l_extendedprice), 4) AS dvol, count(*) AS n FROM lineitem WHERE l_suppkey = 1 AND l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY 1")
+def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One supplier's weeks from a date on: both predicates and four columns reach the scan."""
+    lines = store.at_point(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", 1).where(F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
+    return tidy(lines.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("date")).agg(F.sum("l_extendedprice").alias("dvol"), F.count(F.lit(1)).alias("n")), 4)
+
+
+@query(with_(PANEL_SQL, "SELECT date, ticker, t, round(target, 6) + 0.0 AS target FROM panel WHERE date >= DATE '1997-01-01' AND t <= (SELECT max(t) - 2 FROM panel)"))
+def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel from a start date on, without the last two dates, whose targets can't be known."""
+    rows = source.complete(source.panel(spark, sf_dir), since="1997-01-01")
+    return tidy(rows.select("date", "ticker", F.col("t").cast("long").alias("t"), "target"))
+
+
+@query(with_([*BANDED, "bench AS (SELECT date, c / nullif(lag(c) OVER (ORDER BY t), 0) - 1 AS r FROM panel WHERE ticker = 1)"], f"SELECT date, round(ls_gross - ls_to * {COST} / 1e4, 6) + 0.0 AS ls_net, round(coalesce(r, 0), 6) + 0.0 AS benchmark FROM daily LEFT JOIN bench USING (date)"))
+def portfolio_vs_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio's dates with one name's returns beside them, 0 where it has none."""
+    daily = pf.net_of_costs(pf.portfolio(scores(spark, sf_dir), 0.2, 5, 0.4), [COST])
+    return tidy(pf.with_benchmark(daily, store.at_point(source.panel(spark, sf_dir), "ticker", 1)).select("date", "ls_net", "benchmark"))
+
+
+@query(with_(FEATURES, f"SELECT date, ticker, target::FLOAT::DOUBLE AS target, {', '.join(f'{n}::FLOAT::DOUBLE AS {n}' for n in NAMES[:2])} FROM features WHERE year(date) BETWEEN 1996 AND 1997").replace("SELECT date, ticker, target::FLOAT", "SELECT date, ticker, target::FLOAT"))
+def feature_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written as 32-bit columns by year, and two of them read back for two years."""
+    path = store.scratch(spark, "features")
+    store.write_features(features(spark, sf_dir), list(NAMES), path)
+    out = store.read_features(spark, path, list(NAMES[:2]), 1996, 1997)
+    return out.select("date", "ticker", *[F.col(c).cast("double").alias(c) for c in ("target", *NAMES[:2])])
+
+
+@query(with_(STATS, f"SELECT date, signal, n, {rounded(['ic', 'ls'])} FROM stats"))
+def cached_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily statistics from the table that the first call writes and later ones read."""
+    path = store.scratch(spark, "daily-stats")
+    for _ in range(2):
+        out = store.cached(spark, path, lambda: stats(spark, sf_dir))
+    return tidy(out.select("date", "signal", "n", "ic", "ls"))
+
+
 # --- models -----------------------------------------------------------------
 
 

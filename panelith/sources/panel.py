@@ -128,6 +128,14 @@ def panel(spark: SparkSession, sf_dir: str, cfg: PanelConfig = WEEKLY) -> DataFr
     return grid.select("date", "t", "ticker", "o", "h", "l", "c", "dv", "raw_close", "universe", "target", "m")
 
 
+def complete(rows: DataFrame, since: str | None = None) -> DataFrame:
+    """Panel rows from a date on, without the last two dates: their returns to come are not known yet."""
+    last = rows.agg((F.max("t") - 2).alias("last_t"))
+    kept = rows.where(F.col("date") >= F.lit(since).cast("date")) if since else rows
+    # One row.
+    return kept.join(F.broadcast(last), F.col("t") <= F.col("last_t")).drop("last_t")
+
+
 def panel_sql(cfg: PanelConfig = WEEKLY) -> list[str]:
     """The panel for DuckDB, as CTEs that end in ``panel``."""
     return [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import differences
 
-from panelith import market_queries, panel_queries  # noqa: F401
+from panelith import exchange_queries, market_queries, panel_queries  # noqa: F401
 from panelith import queries as core
 
 
