@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from panelith.llm.common import scratch_path, utf8
+from panelith.llm.common import frugal, scratch_path, utf8
 
 #: Samples in a line of an image; payloads are whole lines.
 LINE = 576
@@ -34,7 +34,8 @@ LINE = 576
 PNG = b"\x89PNG\r\n\x1a\n"
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64_000_000, 8_000_000, 8_000_000
 TRIES, PAUSE_S = 4, 0.2
-MANIFEST = "_manifest.json"
+#: Every write adds a list of its own archives; names that start so are such lists.
+MANIFEST = "_manifest-"
 
 
 def padded(text: bytes) -> bytes:
@@ -133,7 +134,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         archives = sorted(a for m in messages if m is not None for a in m.archives)
         system, folder = _place(self.path)
         system.create_dir(folder, recursive=True)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        with system.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(archives).encode())
 
     def abort(self, messages: list) -> None:
@@ -143,7 +144,7 @@ class ArchiveWriter(DataSourceArrowWriter):
                 system.delete_file(f"{folder}/{name}")
 
 
-def directory(handle, size: int) -> list[tuple[str, int, int, int]]:
+def directory(handle) -> list[tuple[str, int, int, int]]:
     """Name, offset, stored size and CRC of each member, from the archive's own directory."""
 
     with zipfile.ZipFile(handle) as archive, warnings.catch_warnings():
@@ -184,8 +185,12 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         """Ranges over the archives of the manifest; the members are not looked at here."""
         system, folder = _place(self.path)
-        with system.open_input_stream(f"{folder}/{MANIFEST}") as f:
-            archives = json.loads(f.read())
+        archives = []
+        for file in system.get_file_info(fs.FileSelector(folder)):
+            if file.base_name.startswith(MANIFEST):
+                with system.open_input_stream(file.path) as f:
+                    archives += json.loads(f.read())
+        archives.sort()
         return [ByteRange(name, a, min(size, a + self.span)) for name, size in archives for a in range(0, size, self.span)] or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -199,7 +204,7 @@ class ArchiveReader(DataSourceReader):
             held["f"].close()
             held["f"] = system.open_input_file(path)
 
-        names = retried(lambda: directory(held["f"], partition.stop), reopen)
+        names = retried(lambda: directory(held["f"]), reopen)
         rows: list[tuple] = []
         size = 0
         for name, offset, length, crc in names:
@@ -240,7 +245,10 @@ class ArchiveSource(DataSource):
 
 
 def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """One member a row of ``docs``. A null text is empty and stored as one line of padding; null ids are kept."""
+    """One member a row of ``docs``. A null text is empty and stored as one line of padding; null ids are kept.
+
+    Writing to a folder again adds to what is there.
+    """
     docs.sparkSession.dataSource.register(ArchiveSource)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own.write.format("media_archive").option("archiveBytes", archive_bytes).mode("append").save(path)
@@ -263,7 +271,10 @@ def feature(payload: bytes) -> str:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Per member, from its stored bytes alone: lengths, digests and the feature of its payload."""
+    """Per member, from its stored bytes alone: lengths, digests and the feature of its payload.
+
+    A null id stays null; equal members give equal values; a member that is no image of ours raises ValueError.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +287,7 @@ def features(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "media").mapInArrow(frugal(run, "media"), schema)
 
 
 def stored_features(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelith.llm import word_tokens
-from panelith.llm.common import frugal, partitions, stored, text_only
+from panelith.llm.common import frugal, partitions, stored, text_only, unused
 
 CAPACITY = 4096
 #: Id that ends each document.
@@ -113,33 +113,37 @@ def packed_locally(items: DataFrame, capacity: int, group_items: int) -> DataFra
 def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
     """``pieces`` with ``sequence_id long`` and ``offset long``: no sequence longer than ``capacity``, each gapless from 0.
 
-    ``pieces`` needs a ``length`` from 1 to ``capacity`` and keeps its other columns; it is
+    ``pieces`` needs a ``length`` from 1 to ``capacity`` and keeps its other columns (but not ones of the two new names); it is
     written once, so that pieces have lasting numbers. Nulls and repeated rows in other
     columns make no difference; without rows there are no sequences.
     """
-    items = stored(pieces.withColumn("__item", F.monotonically_increasing_id()), "pieces")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    item, bin_, place, next_, shift = (unused([*names, "sequence_id", "offset"], n) for n in ("item", "bin", "place", "next_bin", "shift"))
+    items = stored(pieces.withColumn(item, F.monotonically_increasing_id()), "pieces")
     rounds: list[DataFrame] = []
-    level = items.select(F.col("__item").alias("item"), "length")
+    level = items.select(F.col(item).alias("item"), F.col("length").cast("long").alias("length"))
     groups = partitions(items.sparkSession)
-    before = None
+    before, stuck = None, 0
     while True:
         placed = stored(packed_locally(level, capacity, group_items), "packed")
         rounds.append(placed)
         bins = placed.groupBy("bin").agg(F.sum("length").alias("length"))
         level = stored(bins.where(F.col("length") < capacity - nearly_full).withColumnRenamed("bin", "item"), "underfull")
         left = level.count()
-        # A group of the last round has met every other bin that is left; a round over several groups that merged next to nothing shows that the bins left don't fit together.
-        if groups == 1 or left < 2 or (before is not None and left > 0.999 * before):
+        # A group of the last round has met every other bin that is left. Rounds over several groups that merge next to nothing,
+        # twice and dealt anew in between, show that the bins left don't fit together; if one group can hold them, it has the last word.
+        stuck = stuck + 1 if before is not None and left > 0.999 * before else 0
+        if groups == 1 or left < 2 or (stuck > 1 and left > group_items):
             break
         before = left
-        groups = max(-(-left // group_items), groups // fan_in, 1)
+        groups = 1 if stuck and left <= group_items else max(-(-left // group_items), groups // fan_in, 1)
         level = level.repartition(groups, F.xxhash64("item", F.lit(len(rounds))))
-    first = rounds[0].select(F.col("item").alias("__item"), F.col("bin").alias("__bin"), F.col("offset").alias("__offset"))
-    out = items.join(first, "__item")
+    first = rounds[0].select(F.col("item").alias(item), F.col("bin").alias(bin_), F.col("offset").alias(place))
+    out = items.join(first, item)
     for later in rounds[1:]:
-        moved = later.select(F.col("item").alias("__bin"), F.col("bin").alias("__next"), F.col("offset").alias("__shift"))
-        out = out.join(moved, "__bin", "left").withColumns({"__offset": F.col("__offset") + F.coalesce("__shift", F.lit(0)), "__bin": F.coalesce("__next", "__bin")}).drop("__next", "__shift")
-    return out.withColumnsRenamed({"__bin": "sequence_id", "__offset": "offset"}).drop("__item")
+        moved = later.select(F.col("item").alias(bin_), F.col("bin").alias(next_), F.col("offset").alias(shift))
+        out = out.join(moved, bin_, "left").withColumns({place: F.col(place) + F.coalesce(shift, F.lit(0)), bin_: F.coalesce(next_, bin_)}).drop(next_, shift)
+    return out.select(*names, F.col(bin_).alias("sequence_id"), F.col(place).alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
+import struct
+import zipfile
 import zlib
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelith.llm import hmm, media, quality
+from panelith.llm import hmm, media, minhash, quality, substrings, suffixes
 
 
 def test_binomial_bound():
@@ -117,6 +121,69 @@ def test_media_round_trip(docs, rows, nothing, tmp_path):
     assert media.stored_features(nothing).count() == 0
 
 
+def test_a_second_write_adds_and_short_reads_are_retried(docs, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/archive"
+    for _ in range(2):
+        media.write_archives(docs.limit(5), path)
+    assert media.read_archives(docs.sparkSession, path).count() == 10
+    reader = media.ArchiveReader({"path": path})
+    failures, whole = [zipfile.BadZipFile("short"), struct.error("short")], media.directory
+    monkeypatch.setattr(media, "PAUSE_S", 0)
+
+    def directory(handle):
+        if failures:
+            raise failures.pop()
+        return whole(handle)
+
+    monkeypatch.setattr(media, "directory", directory)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 10 and not failures
+
+
+def long_rows(n: int) -> list[tuple]:
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    text = " ".join(r.choice(words) for _ in range(n))
+    return [(1, text), (2, text + " more"), (3, "x" * 700_000), (4, " \n" * 300_000)]
+
+
+def test_very_long_texts(spark, docs):
+    """Texts of hundreds of thousands of words, of one word and of none, through every operator that takes texts apart."""
+    rows = long_rows(200_000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    near = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {x["doc_id"]: x["n_removed"] for x in substrings.digests(frame).collect()} == {1: 200_000, 2: 200_000, 3: 0, 4: 0}
+    size = len(rows[0][1])
+    assert {x["doc_id"]: x["n_removed"] for x in suffixes.digests(frame).collect()} == {1: size, 2: size, 3: 700_000, 4: 600_000}
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {x["doc_id"]: x["n_words"] for x in quality.judged(frame.withColumn("lang", F.lit("en")), none).collect()} == {1: 200_000, 2: 200_001, 3: 1, 4: 0}
+    assert {x["doc_id"]: x["n_tokens"] for x in hmm.scored(frame).collect()} == {1: 200_001, 2: 200_002, 3: 2, 4: 1}
+
+
+def test_scores_equal_the_recursion_word_by_word(spark, docs):
+    """Every score against a plain forward recursion with a model trained on the same texts."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("abcdefg") for _ in range(r.randint(0, 12)))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = hmm.keyed(frame)
+    v = hmm.vocabulary(hmm.word_counts(texts.where(~F.col("held_out"))))
+    base = hmm.numbered(texts, v)
+    model, _, _ = hmm.fitted(spark, base, v, 2, 2)
+    place = {w: i for i, w in enumerate(v.hashes.tolist())}
+    got = {x["doc_id"]: x["score"] for x in hmm.scored(frame, 2, 2).collect()}
+    unseen = (hmm.PRIOR * 0.5 / v.whole) / model.norm
+    for i, text in rows:
+        at = None
+        total = 0.0
+        for word in [*text.encode().split(), b""]:
+            k = place.get(hmm.word_hash(word))
+            emit = model.emit[k] if k is not None else unseen
+            at = (model.start if at is None else at @ model.step) * emit
+            total += math.log10(at.sum())
+            at = at / at.sum()
+        assert got[i] == pytest.approx(total, rel=1e-9)
+
+
 def test_a_member_is_retried_alone():
     left = [2]
 
