@@ -290,7 +290,7 @@ _SERIES = {"long_short_net": f"ls_gross - ls_to * {COST} / 1e4", "long_short_gro
 
 
 @query(with_([*BANDED, "series5 AS (" + " UNION ALL ".join(f"SELECT date, CASE WHEN year(date) < 1996 THEN 'before' ELSE 'after' END AS period, '{n}' AS series, {x} AS ls FROM daily" for n, x in _SERIES.items()) + ")",
-    "wealth5 AS (SELECT *, exp(sum(ln(1 + ls)) OVER (PARTITION BY period, series ORDER BY date ROWS UNBOUNDED PRECEDING)) AS w FROM series5 WHERE ls IS NOT NULL)",
+    "wealth5 AS (SELECT *, product(1 + ls) OVER (PARTITION BY period, series ORDER BY date ROWS UNBOUNDED PRECEDING) AS w FROM series5 WHERE ls IS NOT NULL)",
     "drawn5 AS (SELECT *, w / max(w) OVER (PARTITION BY period, series ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM wealth5)"], f"SELECT period, series, {_PERF.format(x='ls')} FROM drawn5 GROUP BY period, series"))
 def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five series before and from 1996, as performance tables."""
