@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelith.llm.common import CACHE_ENTRIES, frugal, text_only
+from panelith.llm.common import CACHE_ENTRIES, CACHES, frugal, text_only
 
 #: The pattern of byte-level pre-tokenization, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -159,6 +159,7 @@ class ByteBpe:
 
 
 _held: dict[str, ByteBpe] = {}
+CACHES.append(_held)
 
 
 def codec(path: str) -> ByteBpe:
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [bpe.encode(x or "") for x in part.column("text").to_pylist()]
                 yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return text_only(docs).mapInArrow(frugal(run, "text"), "doc_id long, ids array<int>")
+    return text_only(docs).mapInArrow(frugal(run, "text", keep=True), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -223,7 +224,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 decoded.append(sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(named), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return text_only(docs).mapInArrow(frugal(run, "text"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_only(docs).mapInArrow(frugal(run, "text", keep=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -236,4 +237,4 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
             counts = [len(bpe.encode(x or "")) for x in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(counts, pa.int64())], names=["n_tokens"])
 
-    return text_only(docs).select("text").mapInArrow(frugal(run, "text"), "n_tokens long")
+    return text_only(docs).select("text").mapInArrow(frugal(run, "text", keep=True), "n_tokens long")

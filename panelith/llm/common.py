@@ -91,6 +91,8 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+#: What a worker remembers from task to task; modules add their own.
+CACHES: list[dict] = [WORDS]
 #: Text bytes that a worker takes apart at once; a longer text is taken alone.
 PIECE_BYTES = 4_000_000
 
@@ -110,10 +112,12 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         start = stop
 
 
-def release() -> None:
-    """Gives a worker's caches and freed memory back to the system."""
-    WORDS.clear()
-    _powers.cache_clear()
+def release(keep: bool = False) -> None:
+    """Gives a worker's caches, unless they are to be kept, and freed memory back to the system."""
+    if not keep:
+        for cache in CACHES:
+            cache.clear()
+        _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -124,15 +128,15 @@ def release() -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
-def frugal(run: Callable[[Batches], Batches], column: str | None = None, limit: int = PIECE_BYTES) -> Callable[[Batches], Batches]:
+def frugal(run: Callable[[Batches], Batches], column: str | None = None, limit: int = PIECE_BYTES, keep: bool = False) -> Callable[[Batches], Batches]:
     """``run`` for ``mapInArrow`` that gets its batches in ``pieces`` of a column, if one is named, and whose worker,
-    which Spark keeps for later tasks, holds nothing when the task is over."""
+    which Spark keeps for later tasks, holds nothing when the task is over; ``keep`` leaves it what is dear to make anew, such as a codec."""
 
     def wrapped(batches: Batches) -> Batches:
         try:
             yield from run(batches if column is None else (piece for batch in batches for piece in pieces(batch, column, limit)))
         finally:
-            release()
+            release(keep)
 
     return wrapped
 

@@ -55,7 +55,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = Non
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
-    return text_only(docs).mapInArrow(frugal(run, "text"), schema)
+    return text_only(docs).mapInArrow(frugal(run, "text", keep=True), schema)
 
 
 def best_fit(ids: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

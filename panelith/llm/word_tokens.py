@@ -11,6 +11,7 @@ import unicodedata
 import regex
 
 from panelith.llm.bpe import LETTERS, NUMBERS, SPACES, Remembered, byte_characters, splitter
+from panelith.llm.common import CACHES
 
 #: The splitting pattern of the vocabulary file, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -65,6 +66,7 @@ class WordTokens:
 
 
 _held: dict[str, WordTokens] = {}
+CACHES.append(_held)
 
 
 def codec(path: str) -> WordTokens:
