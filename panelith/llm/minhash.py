@@ -276,7 +276,9 @@ def classes_joined(rows: DataFrame, docs: DataFrame) -> DataFrame:
     weights = stored(members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     centers = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node"))["node"].alias("center"))
     grouped = stored(members.join(centers, "band").where("node <> center"), "grouped")
-    classes = stored(rows.join(weights.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x"), F.first("signature").alias("signature")).select("node", "x.*", "signature"), "classes")
+    # Copies of one set become a row a task before anything is shuffled by their node.
+    named = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("x"), F.first("signature").alias("signature"))
+    classes = stored(named.join(weights.select("node"), "node", "left_semi").select("node", "x.*", "signature"), "classes")
     drop(buckets, members, weights)
     sets = stored(class_sets(docs, classes), "sets")
     found = stored(compared(grouped.select("center", "node").distinct(), sets), "compared")
