@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from panelith.llm import bpe, hmm, media, minhash, packing, quality, sharding, substrings, suffixes, token_lengths
+from panelith.llm import bpe, hmm, media, minhash, oracle, packing, quality, sharding, substrings, suffixes, token_lengths
 from panelith.llm.common import documents
 
 
@@ -76,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe_round_trip,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+SQL: dict[str, str] = oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
