@@ -90,7 +90,10 @@ def nw_sql(table: str, value: str, by: str, lags: int = LAGS) -> list[str]:
     ]
 
 
-@query(with_(STATS, f"SELECT date, signal, n, {rounded(['ic', 'ls', 'to'])} FROM stats".replace("round(to,", 'round("to",').replace("AS to ", 'AS "to" ')))
+DAILY_STATS = f"SELECT date, signal, n, {rounded(['ic', 'ls', 'to'])} FROM stats".replace("round(to,", 'round("to",').replace("AS to ", 'AS "to" ')
+
+
+@query(with_(STATS, DAILY_STATS))
 def daily_signal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(stats(spark, sf_dir))
 
@@ -149,10 +152,15 @@ def perf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ev.performance(stats(spark, sf_dir), "ls", "signal", turnover="to"))
 
 
-@query(with_([*STATS, *nw_sql("stats", "ic", "signal"), "sg AS (SELECT signal, coalesce(sign(avg(ic)), 0) AS sg FROM stats GROUP BY signal)",
-    f"net AS (SELECT s.*, sg, ls * sg AS gross, ls * sg - \"to\" * {COST} / 1e4 AS net FROM stats s JOIN sg USING (signal))"],
+SIGNED = ["sg AS (SELECT signal, coalesce(sign(avg(ic)), 0) AS sg FROM stats GROUP BY signal)",
+          f"net AS (SELECT s.*, sg, ls * sg AS gross, ls * sg - \"to\" * {COST} / 1e4 AS net FROM stats s JOIN sg USING (signal))"]
+SUMMARY = (
     "SELECT signal, round(avg(ic), 6) + 0.0 AS ic_mean, round(avg((sign(round(ic, 12)) = sg)::INT), 6) AS ic_hit, round(avg(gross) * 252, 6) + 0.0 AS ls_ann_gross, round(avg(gross) / stddev_samp(gross) * sqrt(252), 6) + 0.0 AS sharpe_gross, "
-    "round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS sharpe_net, round(avg(\"to\"), 6) AS turnover, count(ic) AS days, round(any_value(t), 6) + 0.0 AS ic_t_nw FROM net LEFT JOIN nw USING (signal) GROUP BY signal"))
+    "round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS sharpe_net, round(avg(\"to\"), 6) AS turnover, count(ic) AS days, round(any_value(t), 6) + 0.0 AS ic_t_nw FROM net LEFT JOIN nw USING (signal) GROUP BY signal"
+)
+
+
+@query(with_([*STATS, *nw_sql("stats", "ic", "signal"), *SIGNED], SUMMARY))
 def summarize_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ev.summary(stats(spark, sf_dir), COST, LAGS))
 
@@ -172,7 +180,10 @@ CHOSEN = [
 ]
 
 
-@query(with_(CHOSEN, f"SELECT signal, round(t, 6) + 0.0 AS t, round(mean, 6) + 0.0 AS ic, sign(mean)::DOUBLE AS sign, coalesce(abs(t) > {THRESHOLD}, false) AS passed, list_contains((SELECT kept FROM chosen), signal) AS kept FROM (SELECT DISTINCT signal FROM stats) LEFT JOIN nw USING (signal)").replace("WITH", "WITH RECURSIVE", 1))
+SELECTION = "SELECT signal, round(t, 6) + 0.0 AS t, round(ic, 6) + 0.0 AS ic, sign(ic)::DOUBLE AS sign, coalesce(abs(t) > {threshold}, false) AS passed, list_contains((SELECT kept FROM chosen), signal) AS kept FROM (SELECT signal, avg(ic) AS ic FROM stats GROUP BY signal) LEFT JOIN nw USING (signal)"
+
+
+@query(with_(CHOSEN, SELECTION.format(threshold=THRESHOLD)).replace("WITH", "WITH RECURSIVE", 1))
 def signal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(ev.select(stats(spark, sf_dir), features(spark, sf_dir).select("date", "ticker", *NAMES), THRESHOLD, LAGS, MOST))
 
@@ -332,26 +343,46 @@ ALL = tuple(signals.CATALOGUE)
 STRONG = 3.0
 
 
-@query()
+_WIDE_ALL = duck.program("panel", {n: s.node for n, s in signals.CATALOGUE.items()}, keep=KEEP)
+_NAMED = ", ".join(f"'{n}'" for n in ALL)
+STATS_ALL = [*PANEL_SQL, *_WIDE_ALL[0], f"wide AS ({_WIDE_ALL[1]})",
+             f"long AS (SELECT date, t, ticker, universe, target, unnest([{_NAMED}]) AS signal, unnest([{', '.join(f'{n}::DOUBLE' for n in ALL)}]) AS value FROM wide)",
+             *STATS[len(LONG):]]
+TESTS_ALL = [*STATS_ALL, *nw_sql("stats", "ic", "signal")]
+CHOSEN_ALL = [
+    *TESTS_ALL,
+    "tenth AS (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n FROM (SELECT DISTINCT date FROM stats)) WHERE n % 10 = 0)",
+    f"members AS (SELECT date, ticker, universe, target, signal, CASE WHEN universe THEN value END AS x FROM long SEMI JOIN tenth USING (date) SEMI JOIN (SELECT signal FROM nw WHERE abs(t) > {STRONG}) USING (signal))",
+    f"shares AS (SELECT date, ticker, universe, target, signal, coalesce({rank_sql('x', BY, True)} - 0.5, 0) AS f FROM members)",
+    "sampled AS (SELECT * FROM shares WHERE universe AND target IS NOT NULL)",
+    "pairs AS (SELECT a.signal, b.signal AS other, corr(a.f, b.f) AS r FROM sampled a JOIN sampled b USING (date, ticker) WHERE a.signal <> b.signal GROUP BY ALL)",
+    f"alike AS (SELECT signal, list(other) FILTER (WHERE r IS NULL OR isnan(r) OR abs(r) >= {MOST}) AS near FROM pairs GROUP BY signal)",
+    f"strongest AS (SELECT signal, near, row_number() OVER (ORDER BY abs(t) DESC, signal) AS k FROM nw LEFT JOIN alike USING (signal) WHERE abs(t) > {STRONG})",
+    *CHOSEN[-2:],
+]
+_FAMILIES_ALL = ", ".join(f"('{n}', '{s.family}')" for n, s in signals.CATALOGUE.items())
+
+
+@query(with_(STATS_ALL, DAILY_STATS))
 def factory_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``daily_signal_stats`` of all signals."""
     return tidy(stats(spark, sf_dir, ALL))
 
 
-@query()
+@query(with_([*TESTS_ALL, *SIGNED], SUMMARY))
 def factory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``summarize_signal`` of all signals: IC, its t, Sharpe ratios and turnover."""
     return tidy(ev.summary(stats(spark, sf_dir, ALL), COST, LAGS))
 
 
-@query()
+@query(with_(CHOSEN_ALL, SELECTION.format(threshold=STRONG)).replace("WITH", "WITH RECURSIVE", 1))
 def factory_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All signals with t, whether beyond the threshold, and whether kept beside stronger ones they correlate with."""
     daily = stats(spark, sf_dir, ALL)
-    return tidy(ev.select(daily, lambda strong: features(spark, sf_dir, tuple(strong)).select("date", "ticker", *strong), STRONG, LAGS, 0.8))
+    return tidy(ev.select(daily, lambda strong: features(spark, sf_dir, tuple(strong)).select("date", "ticker", *strong), STRONG, LAGS, MOST))
 
 
-@query()
+@query(with_([*TESTS_ALL, f"fam AS (SELECT * FROM (VALUES {_FAMILIES_ALL}) v(signal, family))"], f"SELECT family, count(*) AS tested, sum(coalesce(abs(t) > {STRONG}, false)::INT)::BIGINT AS passed FROM fam LEFT JOIN nw USING (signal) GROUP BY family"))
 def factory_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many signals of each family are tested, and pass."""
     meta = spark.createDataFrame([(n, s.family) for n, s in signals.CATALOGUE.items()], "signal string, family string")
