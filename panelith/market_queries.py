@@ -254,4 +254,4 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(BASE, "SELECT user_id, event_id, (ts::DATE + CASE WHEN (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')::TIME > TIME '16:00:00' THEN 1 ELSE 0 END + CASE WHEN (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')::DATE < ts::DATE THEN -1 ELSE 0 END)::DATE AS usable FROM events"))
 def news_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select("user_id", "event_id", mk.news_date(F.date_trunc("second", "ts"), F.lit(False)).alias("usable"))
+    return events(spark, sf_dir).select("user_id", "event_id", mk.news_date(F.col("ts"), F.lit(False)).alias("usable"))

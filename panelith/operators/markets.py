@@ -207,7 +207,8 @@ def stream_snapshots(final: DataFrame, prices: DataFrame, days: tuple[int, ...]
 def news_date(ts: Column, date_only: Column) -> Column:
     """The New York date from which news may be used: its own up to 16:00, else the next; a bare date counts as after the close."""
     local = F.from_utc_timestamp(ts, "America/New_York")
-    late = date_only | (F.date_format(local, "HH:mm:ss") > "16:00:00")
+    # To the microsecond: a fraction of a second past the close is past it.
+    late = date_only | (F.date_format(local, "HH:mm:ss.SSSSSS") > "16:00:00.000000")
     return F.when(late, F.date_add(F.to_date(local), 1)).otherwise(F.to_date(local))
 
 

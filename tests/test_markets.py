@@ -7,8 +7,10 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from compare import TABLES, differences
 from pyspark.sql import functions as F
 
+from panelith import market_queries
 from panelith.operators import markets as mk
 
 
@@ -85,3 +87,19 @@ def test_prompt_has_no_price(spark):
     row = spark.createDataFrame([("Will it?", " ", datetime(2026, 1, 1), datetime(2025, 12, 1))], "q string, r string, e timestamp, n timestamp")
     text = row.select(mk.prompt(F.col("q"), F.col("r"), F.col("e"), F.col("n"))).first()[0]
     assert "Will it?" in text and "No rules are given" in text and "price" not in text.lower()
+
+
+def test_news_a_fraction_of_a_second_past_the_close(spark, small, tmp_path):
+    """The query beside its SQL where New York's close falls between two microseconds, in winter and in summer."""
+    close = (datetime(2024, 1, 15, 21), datetime(2024, 7, 15, 20))
+    steps = (-1, 0, 1, 198_996, 999_999, 1_000_000)
+    rows = [(10 * i + k, c + timedelta(microseconds=s), 1, "view", 1.0, "{}") for i, c in enumerate(close) for k, s in enumerate(steps)] + [(99, None, 1, "view", 1.0, "{}"), (98, datetime(2024, 1, 16, 3), 1, "view", 1.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "events.parquet").symlink_to(next((tmp_path / "written").glob("*.parquet")))
+    for t in TABLES:
+        if t != "events":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    assert differences(spark, str(tmp_path), "news_availability") == ""
+    got = {r["event_id"]: r["usable"] and (r["usable"].month, r["usable"].day) for r in market_queries.news_availability(spark, str(tmp_path)).collect()}
+    assert [got[10 * i + k] for i in range(2) for k in range(6)] == [(1, 15)] * 2 + [(1, 16)] * 4 + [(7, 15)] * 2 + [(7, 16)] * 4
+    assert got[99] is None and got[98] == (1, 16)
