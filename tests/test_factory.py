@@ -55,3 +55,12 @@ def test_deflation_uses_the_trials_of_the_data(spark):
     series = daily.where((q.F.col("config") == trials[0]["config"]) & (q.F.year("date") == 1998))
     assert q.deflated(daily).first() == ev.deflated_sharpe(series, "net", [r["val_sharpe"] for r in trials]).first()
     assert q.deflated(daily.where("config <> 'two'")).first()["dsr"] != q.deflated(daily).first()["dsr"]
+
+
+def test_the_study_reads_the_order_lines_once_and_leaves_no_tables(spark, small, tmp_path, monkeypatch):
+    read, panel = [], q.source.panel
+    monkeypatch.setattr(q.source, "panel", lambda *a: read.append(a) or panel(*a))
+    monkeypatch.setattr(q.store, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(boosting, "settings_of", lambda trees, **fixed: boosting.Settings(rounds=2, **fixed))
+    row = core.QUERIES["deflated_sharpe"](spark, small).first()
+    assert row["days"] > 0 and len(read) == 1 and not list(tmp_path.iterdir())
