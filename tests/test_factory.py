@@ -64,3 +64,32 @@ def test_the_study_reads_the_order_lines_once_and_leaves_no_tables(spark, small,
     monkeypatch.setattr(boosting, "settings_of", lambda trees, **fixed: boosting.Settings(rounds=2, **fixed))
     row = core.QUERIES["deflated_sharpe"](spark, small).first()
     assert row["days"] > 0 and len(read) == 1 and not list(tmp_path.iterdir())
+
+
+def test_the_study_scans_the_order_lines_once_and_caches_nothing(spark, small, tmp_path, monkeypatch):
+    scans, cached, held = [], q.store.cached, lambda: set(spark._jsc.getPersistentRDDs())
+
+    def watched(spark, path, make):
+        df = make()
+        scans.append(df._jdf.queryExecution().sparkPlan().toString().count("lineitem.parquet"))
+        return cached(spark, path, lambda: df)
+
+    monkeypatch.setattr(q.store, "cached", watched)
+    monkeypatch.setattr(q.store, "scratch", lambda _, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(boosting, "settings_of", lambda trees, **fixed: boosting.Settings(rounds=2, **fixed))
+    before = held()
+    core.QUERIES["deflated_sharpe"](spark, small)
+    assert sum(scans) == 1 and held() == before
+
+
+def test_a_years_models_get_their_signals_in_the_order_of_names(spark, monkeypatch):
+    r, names, got = np.random.default_rng(3), [f"s{i}" for i in range(9)], []
+    days = [datetime.date(1996, 1, 1) + datetime.timedelta(7 * k) for k in range(60)]
+    rows = spark.createDataFrame([(d, t, 0.01, 0.1, *r.uniform(-0.5, 0.5, 9).tolist()) for d in days for t in range(6)], f"date date, ticker long, target double, y_rank double, {', '.join(f'{n} double' for n in names)}")
+    strength = {n: (i * 4 % 9 + 1) / 20 for i, n in enumerate(names)}
+    ic = spark.createDataFrame([(d, n, s * (-1) ** i + 0.02 * r.normal()) for d in days for i, (n, s) in enumerate(strength.items())], "date date, signal string, ic double")
+    monkeypatch.setattr(models, "regression", lambda train, test, names, label, out, trees=None: got.append((train.count(), test.count(), names)) or test.withColumn(out, q.F.lit(0.0)))
+    out = models.walk_forward(rows, ic, names, 1997, 1997, 5, 0.5, 3, 0.8)
+    # 53 dates come before 1997; 48 are left of them, every other one is trained on, and 7 are predicted.
+    assert [g[:2] for g in got] == [(24 * 6, 7 * 6)] * 2 and out.count() == 7 * 6
+    assert got[0][2] == got[1][2] == names
